@@ -1 +1,8 @@
 """Lodeworks: listing analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers then need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
