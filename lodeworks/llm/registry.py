@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import exact_dedup, mixing, quality
 
 QUERIES = {
+    "op4_exact_dedup": exact_dedup.query,
     "op6_quality_ledger": quality.query,
+    "op7_poisson_mix": mixing.query,
 }
 ORACLES = {
+    "op4_exact_dedup": exact_dedup.SQL,
     "op6_quality_ledger": quality.SQL,
+    "op7_poisson_mix": mixing.SQL,
 }
