@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .text import squeezed, whole
+from .text import free_name, squeezed, whole
 
 MAX_DEPTH = 16
 LAST = 2**63 - 1  # stands for a null doc_id: it comes last in ties
@@ -41,8 +41,8 @@ def _better(a: tuple, b: tuple) -> tuple:
 
 def _chain_split(split_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 38
-        uid = entry = base
+        base = TaskContext.get().partitionId() << 38  # entries are numbered within the task
+        entry = base
         chains: dict[int, list[list]] = {}  # key -> [entry, best row, rows, bytes, sha]
         held = 0
 
@@ -58,10 +58,10 @@ def _chain_split(split_bytes: int):
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 500):
                 batch = whole_batch.slice(at, 500)
-                doc_ids, shas, keys, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "sha", "key", "n_chars"))
-                entries, uids = [], []
+                doc_ids, shas, keys, sizes, uids = (batch.column(c).to_pylist() for c in ("doc_id", "sha", "key", "n_chars", "uid"))
+                entries = []
                 for i, body in enumerate(batch.column("body")):
-                    text, row = body.as_buffer(), (sizes[i], doc_ids[i], uid)
+                    text, row = body.as_buffer(), (sizes[i], doc_ids[i], uids[i])
                     chain = chains.setdefault(keys[i], [])
                     for e in chain:
                         if e[3] == text:
@@ -73,10 +73,8 @@ def _chain_split(split_bytes: int):
                         held += len(text) + 300
                         entry += 1
                     entries.append(e[0])
-                    uids.append(uid)
-                    uid += 1
                 n = batch.num_rows
-                cols = [pa.array(entries, pa.int64()), pa.array(uids, pa.int64()), batch.column("doc_id"), batch.column("sha"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([False] * n)]
+                cols = [pa.array(entries, pa.int64()), batch.column("uid"), batch.column("doc_id"), batch.column("sha"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([False] * n)]
                 yield pa.RecordBatch.from_arrays(cols, schema=_PARTS)
                 if held > split_bytes:
                     yield from flush()
@@ -139,8 +137,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 100_000, split_bytes: int = 128 << 20) -> DataFrame:
-    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256.
+def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 100_000, split_bytes: int = 128 << 20, row: str | None = None) -> DataFrame:
+    """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, uid (the column `row` of df,
+    if it is named, else a number of our own).
 
     Texts are equal when identical after all white space is deleted; null counts as empty, and all empty texts
     are equal. The row with the most code points stays, then the smallest doc_id (null last); of repeated rows
@@ -149,7 +148,8 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bit
     """
     spark = df.sparkSession
     body = squeezed(whole(text))
-    docs = df.select(F.col(id_column).cast("long").alias("doc_id"), body.alias("body"), F.length(whole(text)).cast("long").alias("n_chars"))
+    uid = F.col(row) if row else F.monotonically_increasing_id()
+    docs = df.select(uid.alias("uid"), F.col(id_column).cast("long").alias("doc_id"), body.alias("body"), F.length(whole(text)).cast("long").alias("n_chars"))
     docs = docs.withColumn("sha", F.sha2(F.col("body"), 256)).withColumn("body", F.col("body").cast("binary"))
     high = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")  # 60 bits, never negative
     docs = docs.withColumn("key", F.shiftright(high, max(0, 60 - key_bits)))
@@ -172,6 +172,17 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bit
     return members.join(found, "entry").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"), "uid")
 
 
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that stay, one of each group of equal texts (see groups), with the columns of df.
+
+    The rows are numbered in a shared table first, so that repeated rows can be told apart.
+    """
+    row = free_name(df, "_row")
+    numbered = shared.written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    verdict = groups(numbered, id_column, text, row=row).where("kept").select(F.col("uid").alias(row))
+    return numbered.join(verdict, row, "left_semi").select(*df.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op6_quality_ledger": quality.query,
     "op7_poisson_mix": mixing.query,
+    "op8_simhash_classes": simhash.query,
+    "op10_sentencepiece": sentencepiece_codec.query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
