@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash
+from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
+    "op1_toxic_segments": toxicity.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_quality_ledger": quality.query,
     "op7_poisson_mix": mixing.query,
