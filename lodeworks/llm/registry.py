@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, mixing, quality, sentencepiece_codec, simhash, toxicity
+from . import exact_dedup, language_model, mixing, pii, quality, sentencepiece_codec, simhash, toxicity
 
 QUERIES = {
     "op1_toxic_segments": toxicity.query,
+    "op2_feistel_pii": pii.query,
     "op3_bloom_lm": language_model.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_quality_ledger": quality.query,
