@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from .queries import texts
+
+_MODULES = (texts,)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
