@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import texts
+from .queries import ruling, stateful, texts
 
-_MODULES = (texts,)
+_MODULES = (texts, ruling, stateful)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

@@ -137,15 +137,17 @@ def _section(rules: Mapping, name: str, required: bool) -> Mapping:
 
 def with_text(listings: DataFrame) -> DataFrame:
     """Adds the three normalised texts that rules look at: norm_snip (title and snippet), norm_loc (with street,
-    district and raw values) and norm_district. Each is computed once."""
+    district and raw values) and norm_district. Each is computed once: an expression that isn't deterministic is
+    neither copied into the many conditions that read it nor pushed down with them."""
     c = F.col
     empty = lambda name: F.coalesce(c(name), F.lit(""))
     raw = F.map_values("raw") if "raw" in listings.columns else F.array().cast("array<string>")
+    once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     return listings.withColumns(
         {
-            "norm_snip": T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet"))),
-            "norm_loc": T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet"), empty("street"), empty("district"), F.array_join(raw, " "))),
-            "norm_district": T.normalise(c("district")),
+            "norm_snip": once(T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet")))),
+            "norm_loc": once(T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet"), empty("street"), empty("district"), F.array_join(raw, " ")))),
+            "norm_district": once(T.normalise(c("district"))),
         }
     )
 
