@@ -37,14 +37,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
-        given = docs.sparkSession.createDataFrame(list(weights.items()) or [(None, 0.0)], "source string, w double")
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, w double")
         counts = counts.withColumnRenamed("source", "s").join(given, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "n", F.coalesce("w", F.lit(0.0)).alias("w"))
         weight = F.col("w")
-    counts = counts.withColumn("w", weight)
-    total = counts.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))  # one row
-    wanted = F.lit(float(size)) if size is not None else F.col("all_n").cast("double")
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * wanted / F.col("n")).otherwise(F.lit(0.0))
-    table = counts.join(F.broadcast(total)).select("source", "n", rate.alias("rate"))
+    counts = shared.written(counts.withColumn("w", weight), "counts")
+    all_w, all_n = counts.agg(F.sum("w"), F.sum("n")).first()  # one row
+    wanted = float(all_n or 0 if size is None else size)
+    rate = F.col("w") / F.lit(all_w) * F.lit(wanted) / F.col("n") if all_w else F.lit(0.0)
+    table = counts.select("source", "n", rate.alias("rate"))
     table = table.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK).cast("int"))).withColumn("mean", F.col("rate") / F.col("draws"))
     first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("c"))
 
