@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import ruling, stateful, texts
+from .queries import reports, ruling, stateful, texts
 
-_MODULES = (texts, ruling, stateful)
+_MODULES = (texts, ruling, stateful, reports)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
