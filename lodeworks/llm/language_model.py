@@ -33,7 +33,7 @@ from . import shared
 from .text import whole
 from .toxicity import fold
 
-END = "\n"  # no word has white space
+END = b"\n"  # no word has white space
 NGRAM_SHARE, WORD_SHARE = 50_000, 200_000
 BASE, MASS = 1.25, 3000.0
 SLICES, MAX_BITS, BITS_EACH, PROBES = 64, 1 << 28, 10, 4
@@ -41,15 +41,10 @@ BEGIN = 1 << 20  # the class before the first token; vocabulary classes are smal
 FLUSH = 1 << 19
 
 
-def tokens(text: str) -> list[str]:
-    """Words with A-Z lower-cased, then the end."""
-    out = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return [*_split(out), END]
-
-
-def _split(text: str) -> list[str]:
-    # str.split() also cuts at other white space; bytes.split() cuts at these six only.
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+def tokens(text: str) -> list[bytes]:
+    """Words with A-Z lower-cased, in UTF-8, then the end. Bytes know only the six white spaces of ASCII, and
+    lower only A-Z."""
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +54,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(counts)
         for i in range(0, len(names), 65536):
             part = names[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64())], names=["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in part], pa.int64())], names=["token", "c"])
         counts.clear()
 
     for batch in batches:
@@ -73,7 +68,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """Frequent words: their counts and classes (0: rare)."""
 
-    def __init__(self, words: list[tuple[str, int]], n: int, v: int):
+    def __init__(self, words: list[tuple[bytes, int]], n: int, v: int):
         self.n, self.v = n, v
         self.whole = n + 0.5 * (v + 1)
         ordered = sorted(words, key=lambda x: (-x[1], x[0]))
@@ -89,10 +84,10 @@ class Vocabulary:
         self.class_p1[1:] = (self.class_count[1:] + 0.5) / self.whole
         self.class_p1[0] = max(1.0 - self.class_p1[1:].sum(), 0.5 / self.whole)
 
-    def numbers(self, text: str) -> tuple[list[str], np.ndarray]:
+    def numbers(self, text: str) -> tuple[list[bytes], np.ndarray]:
         found = tokens(text)
         get, other = self.word.get, len(self.count)
-        return found, np.array([get(w, other) for w in found], np.int64)
+        return found, np.fromiter((get(w, other) for w in found), np.int64, len(found))
 
 
 def _pairs(classes: np.ndarray) -> np.ndarray:
@@ -119,7 +114,7 @@ def _count_pairs(sent):
                 _, ids = vocabulary.numbers(text.as_py())
                 held.append(_pairs(vocabulary.class_of[ids]))
                 size += len(ids)
-                if size > 4_000_000:
+                if size > FLUSH * 8:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -207,30 +202,33 @@ def _score(sent_words, sent_filter):
         words = Vocabulary(*sent_words.value)
         pairs = Filter(*sent_filter.value)
         contexts = np.append(words.class_count, 0.0)
+        n_words = len(words.count)
+        start = words.count[words.word[END]] if END in words.word else 0.0
+        in_rare = -math.log10(words.class_p1[0])
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 500):
-                batch = whole_batch.slice(at, 500)
-                cols: list[list] = [[] for _ in range(6)]
-                for text in batch.column("text"):
-                    found, ids = words.numbers(text.as_py())
-                    frequent = ids < len(words.count)
-                    classes = words.class_of[ids]
-                    key = _pairs(classes)
-                    before = key >> 21
-                    context = np.where(before == BEGIN, words.count[words.word[END]] if END in words.word else 0.0, contexts[np.minimum(before, words.n_classes)])
-                    c1 = words.class_p1[classes]
-                    given = np.log10((pairs.count(key) + MASS * c1) / (context + MASS))
-                    p1 = words.log_p1[ids[frequent]]
-                    # Within its class a word has its share by P1; the join adds ln P1 of words that aren't frequent.
-                    inside = np.zeros(len(ids))
-                    rare_class = classes == 0
-                    inside[rare_class] = -math.log10(words.class_p1[0])
-                    inside[frequent & rare_class] += words.log_p1[ids[frequent & rare_class]]
-                    others = Counter(w for w, f in zip(found, frequent.tolist(), strict=True) if not f)
-                    for col, x in zip(cols, (len(ids), int(frequent.sum()), float(p1.sum()), float(given.sum() + inside.sum()), list(others), list(others.values())), strict=True):
-                        col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
+            for at in range(0, whole_batch.num_rows, 1000):
+                batch = whole_batch.slice(at, 1000)
+                texts = [words.numbers(t.as_py()) for t in batch.column("text")]
+                ids = np.concatenate([i for _, i in texts])
+                ends = np.cumsum([len(i) for _, i in texts])
+                firsts = np.concatenate(([0], ends[:-1]))
+                frequent, classes = ids < n_words, words.class_of[ids]
+                before = np.concatenate(([BEGIN], classes[:-1]))
+                before[firsts] = BEGIN
+                # Texts repeat the same pairs over and over: each pair is probed once a batch.
+                pair, where = np.unique(before << 21 | classes, return_inverse=True)
+                u, w = pair >> 21, pair & (1 << 21) - 1
+                context = np.where(u == BEGIN, start, contexts[np.minimum(u, words.n_classes)])
+                given = np.log10((pairs.count(pair) + MASS * words.class_p1[w]) / (context + MASS))[where]
+                # Within the rare class a word has its share by P1; the join adds log P1 of words that aren't frequent.
+                p1 = np.append(words.log_p1, 0.0)[ids]
+                rare = classes == 0
+                given[rare] += in_rare + p1[rare]
+                per_text = [np.add.reduceat(x, firsts) for x in (frequent.astype(np.int64), p1, given)]
+                others = [Counter(t for t, f in zip(found, frequent[a:b].tolist(), strict=True) if not f) for (found, _), a, b in zip(texts, firsts.tolist(), ends.tolist(), strict=True)]
+                names = pa.array([list(c) for c in others], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+                times = pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ends - firsts), *map(pa.array, per_text), names, times], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
 
     return run
 
@@ -248,7 +246,7 @@ def score(df: DataFrame, train: Column | None = None, text: str = "text") -> Dat
     taught = docs.where(F.coalesce(train, F.lit(False))).select("text")
     counts = shared.written(taught.mapInArrow(_count_words, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()  # one row
-    frequent = [tuple(r) for r in counts.where(F.col("c") * WORD_SHARE >= n).collect()]  # WORD_SHARE rows at most
+    frequent = [(r[0].encode(), r[1]) for r in counts.where(F.col("c") * WORD_SHARE >= n).collect()]  # WORD_SHARE rows at most
     sent_words = spark.sparkContext.broadcast((frequent, n, v))
 
     pairs = taught.mapInArrow(_count_pairs(sent_words), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
