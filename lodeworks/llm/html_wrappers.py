@@ -211,6 +211,9 @@ def main_slots(wrapper: list, pages: int) -> set[str]:
         inside = [s for s in slots if (s[0] + "/").startswith(home + "/")]
     else:
         inside = [s for s in slots if s[2][2] < 0.5 * s[2][1] and not {"header", "title"} & {n.split(".")[0] for n in s[1]}]
+    if weight:
+        return {key for key, _, _ in inside}
+    # Without an article's element, what is the same on every page is the template's.
     template = lambda s: s[3] and s[0] >= SAME_ON and pages >= SAME_ON
     by_path: dict[str, list] = {}
     for key, _, stats in inside:
