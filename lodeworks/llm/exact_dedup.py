@@ -137,14 +137,14 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 100_000, split_bytes: int = 128 << 20, row: str | None = None) -> DataFrame:
+def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 100_000, split_bytes: int = 128 << 20, row: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
     """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, uid (the column `row` of df,
     if it is named, else a number of our own).
 
     Texts are equal when identical after all white space is deleted; null counts as empty, and all empty texts
     are equal. The row with the most code points stays, then the smallest doc_id (null last); of repeated rows
     with one doc_id, exactly one stays. Other columns of df don't matter. An empty df gives no rows.
-    key_bits shortens the keys, which only tests need: it makes different texts share a chain.
+    made, if given, gets the shared table that the result reads. key_bits shortens the keys, which only tests need: it makes different texts share a chain.
     """
     spark = df.sparkSession
     body = squeezed(whole(text))
@@ -155,6 +155,8 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bit
     docs = docs.withColumn("key", F.shiftright(high, max(0, 60 - key_bits)))
     bits = min(60, key_bits)
     parts = shared.written(docs.mapInArrow(_chain_split(split_bytes), _PARTS_DDL), "hash-index", ("is_entry",))
+    if made is not None:
+        made.append(parts)
 
     entries = parts.where("is_entry").drop("is_entry", "sha")
     depth = min(MAX_DEPTH, bits)
@@ -179,7 +181,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     """
     row = free_name(df, "_row")
     numbered = shared.written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    verdict = groups(numbered, id_column, text, row=row).where("kept").select(F.col("uid").alias(row))
+    made: list[DataFrame] = []
+    verdict = groups(numbered, id_column, text, row=row, made=made)
+    verdict = shared.written(verdict.where("kept").select(F.col("uid").alias(row)), "kept")
+    shared.drop(*made)
     return numbered.join(verdict, row, "left_semi").select(*df.columns)
 
 

@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b")))
-        now = shared.written(small.where("a <> b").distinct(), "small-star")
+        before, now = now, shared.written(small.where("a <> b").distinct(), "small-star")
+        shared.drop(before, large)
         new = _digest(now)
         if new == was:
             break

@@ -38,11 +38,14 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     fields = [f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by]
-    return spark.read.schema(type(df.schema)(fields)).parquet(path)
+    out = spark.read.schema(type(df.schema)(fields)).parquet(path)
+    out.shared_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a shared table of ours."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned, once whatever reads them has itself been written."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

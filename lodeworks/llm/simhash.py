@@ -271,6 +271,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     grouped = with_head.select("near_row", "fp", "doc_id", "n", own.alias("own")).join(parts, F.col("fp") == F.col("node"), "left")
     grouped = grouped.withColumn("part", F.coalesce("component", "fp")).drop("component", "node", "fp")
     grouped = shared.written(grouped, "grouped")
+    shared.drop(prints, heads)
     stays = grouped.where("own").groupBy("part").agg(F.min(better)["r"].alias("stays"))
     verdict = grouped.join(stays, "part", "left").select("near_row", F.when(F.col("own"), F.col("stays")).otherwise(F.col("near_row")).alias("near_of"))
     return numbered.join(verdict, "near_row")
