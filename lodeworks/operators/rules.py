@@ -280,7 +280,8 @@ def scored(listings: DataFrame, rules: Mapping) -> DataFrame:
     if ref := s.get("price_per_m2_reference"):
         ppm2 = T.price_per_m2(c("price_eur"), c("area_m2"))
         below = (lit(float(ref)) - ppm2) / lit(float(ref)) * 100
-        bonus = F.greatest(lit(-PRICE_CAP), F.least(lit(PRICE_CAP), F.rint(below).cast("int")))
+        # greatest and least skip nulls, so an unknown price is kept out first.
+        bonus = F.when(below.isNotNull(), F.greatest(lit(-PRICE_CAP), F.least(lit(PRICE_CAP), F.rint(below).cast("int"))))
         whole = lambda x: F.rint(x).cast("bigint").cast("string")
         plus = lambda x: F.when(x >= 0, lit("+")).otherwise(lit(""))
         minus = F.when((F.rint(below) == 0) & (below < 0), lit("-0")).otherwise(F.concat(plus(F.rint(below)), whole(below)))

@@ -23,10 +23,16 @@ PROJECTS = "slug string, first_seen date, last_seen date, name string, url strin
 def _previous(key: str) -> Column:
     """The last earlier row with the same key, as a struct (null at the first, or where there is no key)."""
     w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.struct(F.col("price_eur").alias("price"), F.col("first_seen").alias("first_seen"), F.col("seq").alias("seq"))
+    entry = F.struct(F.col("price_eur").alias("price"), F.col("seq").alias("seq"))
     return F.when(F.col(key).isNotNull(), F.last(entry).over(w))
 
 
+def _since(key: str) -> Column:
+    """The earliest known date among the earlier rows with the same key."""
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return F.when(F.col(key).isNotNull(), F.min("first_seen").over(w))
+
+
 def classify(listings: DataFrame, known: DataFrame, content: DataFrame) -> DataFrame:
     """Adds status (new, price_change or seen) and previous_price to listings with columns id, fingerprint,
     price_eur and seq (the order in which they were crawled, from 0 up).
@@ -37,15 +43,15 @@ def classify(listings: DataFrame, known: DataFrame, content: DataFrame) -> DataF
     c = F.col
     now = listings.withColumn("first_seen", F.lit(None).cast("date"))
     by_id = known.select("id", "price_eur", "first_seen", F.lit(-1).cast("bigint").alias("seq"))
-    with_id = now.unionByName(by_id, allowMissingColumns=True).withColumn("by_id", _previous("id")).where("seq >= 0")
+    with_id = now.unionByName(by_id, allowMissingColumns=True).withColumn("by_id", _previous("id")).withColumn("since_id", _since("id")).where("seq >= 0")
     by_content = content.select("fingerprint", "price_eur", "first_seen", F.lit(-1).cast("bigint").alias("seq"))
     # Listings without a fingerprint need no window; they would all share one partition.
-    looked = with_id.where("fingerprint IS NOT NULL").unionByName(by_content, allowMissingColumns=True).withColumn("by_content", _previous("fingerprint")).where("seq >= 0")
-    bare = with_id.where("fingerprint IS NULL").withColumn("by_content", F.lit(None).cast(looked.schema["by_content"].dataType))
+    looked = with_id.where("fingerprint IS NOT NULL").unionByName(by_content, allowMissingColumns=True).withColumn("by_content", _previous("fingerprint")).withColumn("since_content", _since("fingerprint")).where("seq >= 0")
+    bare = with_id.where("fingerprint IS NULL").withColumn("by_content", F.lit(None).cast(looked.schema["by_content"].dataType)).withColumn("since_content", F.lit(None).cast("date"))
     both = looked.unionByName(bare).withColumn("entry", F.coalesce("by_id", "by_content"))
     moved = T.price_moved(c("entry.price"), c("price_eur"))
     status = F.when(c("entry").isNull(), "new").when(moved, "price_change").otherwise("seen")
-    return both.withColumn("status", status).withColumn("previous_price", c("entry.price")).withColumn("known_since", c("entry.first_seen")).drop("by_id", "by_content", "entry", "first_seen")
+    return both.withColumn("status", status).withColumn("previous_price", c("entry.price")).withColumn("known_since", F.coalesce("since_id", "since_content")).drop("by_id", "by_content", "since_id", "since_content", "entry", "first_seen")
 
 
 def remember(classified: DataFrame, known: DataFrame, content: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:

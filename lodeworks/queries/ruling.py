@@ -96,7 +96,7 @@ _TERMS = (
 )
 _SCORED = f"""
 g AS (SELECT *, (2600.0::DOUBLE - ppm2) / 2600.0::DOUBLE * 100 AS below FROM f WHERE drop_code IS NULL),
-h AS (SELECT *, CAST(greatest(-25, least(25, round_even(below, 0))) AS INT) AS pb, CAST(round_even(below, 0) AS BIGINT) AS rb FROM g),
+h AS (SELECT *, CASE WHEN below IS NOT NULL THEN CAST(greatest(-25, least(25, round_even(below, 0))) AS INT) END AS pb, CAST(round_even(below, 0) AS BIGINT) AS rb FROM g),
 s AS (SELECT *, {" + ".join(f"CASE WHEN {t} THEN {b} ELSE 0 END" for t, b, _ in _TERMS)} + coalesce(pb, 0) AS score,
   array_to_string(list_filter([{", ".join(f"CASE WHEN {t} THEN '{b:+d} {x}' END" for t, b, x in _TERMS)},
     CASE WHEN pb <> 0 THEN printf('%+d', pb) || ' price/m² ' || CAST(round_even(ppm2, 0) AS BIGINT) || ' € vs reference 2600 € (' || printf('%+d', rb) || '%, capped at ±25)' END], lambda x: x IS NOT NULL), '; ') AS breakdown FROM h)"""
