@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .text import whole
 
 BITS = 20
@@ -37,6 +38,9 @@ SURE = 1.5
 DRIFT = 0.25
 #: A word's score is kept within these, so that no single word decides a long text.
 CLIP = 6.0
+#: Labelled rows learnt from: all up to this number (the table of their ids is broadcast, about 10 MB); beyond it,
+#: those with the lowest hashes of doc_id, about so many.
+MOST_LABELS = 200_000
 EDGE = ".,;:!?\"'()[]«»¿¡"
 
 
@@ -186,19 +190,26 @@ def fit_logistic(bins: list[tuple[float, int, int]], steps: int = 50) -> tuple[f
     return a, b
 
 
-def score(documents: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text", most_labels: int = MOST_LABELS) -> DataFrame:
     """documents (doc_id and text are read; repeated rows stay) with score, predicted, evidence, passages.
 
     labels (doc_id, toxic) of rows where `train` (on doc_id; by default crc32 % 4 <> 2) holds are learnt from:
-    half of the folds give the scores of words, the rest the calibration. Labels other than 0 and 1, or of
+    two parts of three give the scores of words, the third the calibration; of more than most_labels labels a
+    hashed sample of about that size is taken. Labels other than 0 and 1, or of
     documents that aren't there, are left out. A null text is empty; an empty text has no evidence and scores
     as the curve has it at none. Without labels of both kinds every text scores 0.
     """
     spark = documents.sparkSession
     train = fold(F.col("doc_id"), 4) != 2 if train is None else train
     known = labels.where(F.col("toxic").isin(0, 1)).where(train).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = known.dropDuplicates(["doc_id"])
+    n = known.count()
+    if n > most_labels:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_labels / n))
+    known = shared.written(known.withColumn("part", fold(F.concat(F.lit("part"), F.col("doc_id").cast("string")), 3)), "labels")
     base = documents.select("doc_id", whole(text).alias("text"))
-    taught = base.join(known, "doc_id").withColumn("part", fold(F.concat(F.lit("part"), F.col("doc_id").cast("string")), 3))
+    # The texts stay where they are: the ids of at most about most_labels rows go to them.
+    taught = base.join(F.broadcast(known), "doc_id")
     first = taught.where("part <> 2").select("text", "toxic")
     sizes = {r[0]: r[1] for r in first.groupBy("toxic").count().collect()}  # two rows
     # Not more rows than cells.
