@@ -37,7 +37,8 @@ def tier_asof(spark, sf):
     return R.tier_join(scores, tiers)
 
 
-_ANSWER = F.when(F.col("doc_id") % 7 == 0, F.lit("[1, 2]")).when(F.col("doc_id") % 7 == 1, F.lit("not json")).otherwise(
+def _answer():
+    return F.when(F.col("doc_id") % 7 == 0, F.lit("[1, 2]")).when(F.col("doc_id") % 7 == 1, F.lit("not json")).otherwise(
     F.concat(F.lit('{"price_eur": '), (F.col("doc_id") * 100 - 5000).cast("string"), F.lit(', "rooms": "3", "condition": "'), F.when(F.col("doc_id") % 2 == 0, F.lit("novostavba")).otherwise(F.lit("odd")), F.lit('", "balcony": '), F.when(F.col("doc_id") % 3 == 0, F.lit("true")).otherwise(F.lit("null")), F.lit(', "summary": "s'), F.col("doc_id").cast("string"), F.lit('"}'))
 )
 
@@ -49,7 +50,7 @@ def enrich_merge(spark, sf):
         F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.col("n_chars")).alias("price_eur"), F.lit(None).cast("double").alias("area_m2"), F.when(F.col("doc_id") % 5 == 0, F.lit("2")).alias("rooms"),
         *[F.lit(None).cast(t).alias(n) for n, t in nothing.items()], F.when(F.col("doc_id") % 3 == 0, F.lit("rekonstrukcia")).otherwise(F.lit("unknown")).alias("condition"), F.lit(None).cast("boolean").alias("balcony"),
     )
-    answers = labels.select(F.col("doc_id").cast("string").alias("id"), _ANSWER.alias("json"))
+    answers = labels.select(F.col("doc_id").cast("string").alias("id"), _answer().alias("json"))
     return enrich.merge(own, answers).select("id", "price_eur", "rooms", "condition", "balcony", F.col("ai.summary").alias("summary"))
 
 
