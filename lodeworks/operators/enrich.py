@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 SOURCE_CHARS, SUMMARY_CHARS, MOST_ERRORS = 6000, 300, 3
 
 ANSWER = (
-    "price_eur double, area_m2 double, rooms string, street string, district string, floor double, condition string, balcony boolean, "
-    "parking boolean, terrace boolean, year_built double, is_new_development boolean, red_flags array<string>, summary string"
+    "price_eur bigint, area_m2 double, rooms string, street string, district string, floor int, condition string, balcony boolean, "
+    "parking boolean, terrace boolean, year_built int, is_new_development boolean, red_flags array<string>, summary string"
 )
 
 
@@ -35,17 +35,17 @@ def merge(listings: DataFrame, answers: DataFrame) -> DataFrame:
     named = F.when(c("a.condition").isin("novostavba", "povodny_stav", "rekonstrukcia"), c("a.condition"))
     flags = F.filter(c("a.red_flags"), lambda x: x.isNotNull() & (x != ""))
     ai = F.struct(
-        c("a.parking").alias("parking"), c("a.terrace").alias("terrace"), c("a.year_built").cast("int").alias("year_built"), c("a.is_new_development").alias("is_new_development"),
-        flags.alias("red_flags"), F.left(c("a.summary"), F.lit(SUMMARY_CHARS)).alias("summary"),
+        c("a.parking").alias("parking"), c("a.terrace").alias("terrace"), c("a.year_built").alias("year_built"), c("a.is_new_development").alias("is_new_development"),
+        flags.alias("red_flags"), F.left(F.trim(c("a.summary")), F.lit(SUMMARY_CHARS)).alias("summary"),
     )
     return j.withColumns(
         {
-            "price_eur": F.coalesce("price_eur", positive(c("a.price_eur").cast("bigint"))),
+            "price_eur": F.coalesce("price_eur", positive(c("a.price_eur"))),
             "area_m2": F.coalesce("area_m2", positive(c("a.area_m2"))),
             "rooms": F.coalesce("rooms", text(c("a.rooms"))),
             "street": F.coalesce("street", text(c("a.street"))),
             "district": F.coalesce("district", text(c("a.district"))),
-            "floor": F.coalesce("floor", c("a.floor").cast("int")),
+            "floor": F.coalesce("floor", c("a.floor")),
             "condition": F.when(c("condition") == "unknown", F.coalesce(named, c("condition"))).otherwise(c("condition")),
             "balcony": F.coalesce("balcony", c("a.balcony")),
             "ai": F.when(c("a").isNotNull(), ai),

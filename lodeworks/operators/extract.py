@@ -139,25 +139,34 @@ def _heading_link(card: Node) -> Node | None:
     return next((a for a in h.all("a") if a.attrs.get("href")), None) if h else None
 
 
-def _number_in(url: str, least: int) -> str | None:
-    m = re.search(rf"(\d{{{least},}})", url)
+def _any_link(card: Node) -> Node | None:
+    """The heading's link, else the first of the card."""
+    return _heading_link(card) or next((a for a in card.all("a") if a.attrs.get("href")), None)
+
+
+def _id_in(pattern: str, url: str) -> str | None:
+    m = re.search(pattern, url)
     return m[1] if m else None
 
 
+#: Fixed patterns: where each site keeps the number of an offer in its address.
+BAZOS_ID, DETAIL_ID, REALITY_ID = r"/inzerat/(\d+)", r"/detail/[^\s\"']*?(\d{5,})", r"[-/](\d{4,})/?$"
+TOPREALITY_ID, BYTY_ID = r"[-/](\d{4,})(?:\.html)?/?$", r"/(\d{5,})(?:[/?-]|\.html|$)"
+
+
 def bazos_cards(root: Node) -> Iterator[dict]:
     for card in root.all("div", "inzeraty"):
         if link := _heading_link(card):
             c = _card(PORTALS["bazos"], link, price_text=text_of(card, "inzeratycena"), locality_text=text_of(card, "inzeratylok"), description=text_of(card, "popis"))
-            m = re.search(r"/inzerat/(\d+)", c["url"])
-            yield c | {"raw_id": m[1] if m else None, "info_text": f"{c['title']} {c['description']}", "full_text": card.text()}
+            yield c | {"raw_id": _id_in(BAZOS_ID, c["url"]), "info_text": f"{c['title']} {c['description']}", "full_text": card.text()}
 
 
 def nehnutelnosti_cards(root: Node) -> Iterator[dict]:
     found = False
     for card in root.all("div", "advertisement-item"):
         found = True
-        if link := _heading_link(card):
-            part = lambda x: text_of(card, f"advertisement-item__{x}")  # noqa: B023,E731
+        if link := _any_link(card):
+            part = lambda x: text_of(card, f"advertisement-item--content__{x}")  # noqa: B023,E731
             info = part("info")
             yield _card(PORTALS["nehnutelnosti"], link, raw_id=card.attrs.get("data-id"), price_text=part("price"), info_text=info, locality_text=part("locality"), description=part("description") or info, full_text=card.text())
     if not found:
@@ -168,32 +177,34 @@ def detail_links(root: Node) -> Iterator[dict]:
     """Anchors to detail pages, for pages whose cards aren't recognised; the first of each url counts."""
     seen = set()
     for a in root.all("a"):
-        href = (a.attrs.get("href") or "").split("?")[0]
-        m = re.search(r"/detail/.*?(\d{5,})", href)
-        if not m:
+        number = _id_in(DETAIL_ID, a.attrs.get("href") or "")
+        if not number:
             continue
         c = _card(PORTALS["nehnutelnosti"], a)
         url = c["url"].split("?")[0]
         if url not in seen:
             seen.add(url)
             mined = mined_price(a)
-            yield c | {"url": url, "raw_id": m[1], "title": a.text() or mined[:100], "price_text": mined if "€" in mined else "", "info_text": mined, "description": mined, "full_text": mined}
+            if not (a.text() or mined):
+                continue
+            yield c | {"url": url, "raw_id": number, "title": a.text() or mined[:100], "price_text": mined if "€" in mined else "", "info_text": mined, "description": mined, "full_text": mined}
 
 
 def reality_cards(root: Node) -> Iterator[dict]:
     for card in root.walk():
-        if card.tag in ("article", "div") and "offer" in card.classes() and (link := _heading_link(card)):
-            c = _card(PORTALS["reality"], link, price_text=text_of(card, "offer__price"), info_text=text_of(card, "offer__params"), locality_text=text_of(card, "offer__address"), description=text_of(card, "offer__description"), full_text=card.text())
-            m = re.search(r"(\d{4,})/?$", c["url"].split("?")[0])
-            yield c | {"raw_id": card.attrs.get("data-id") or (m[1] if m else None)}
+        if card.tag in ("article", "div") and "offer" in card.classes() and (link := _heading_link(card) or next((x for x in card.all("a", "offer__title") if x.attrs.get("href")), None) or _any_link(card)):
+            params = text_of(card, "offer__params")
+            c = _card(PORTALS["reality"], link, price_text=text_of(card, "offer__price"), info_text=params, locality_text=text_of(card, "offer__address"), description=text_of(card, "offer__description") or params, full_text=card.text())
+            yield c | {"raw_id": card.attrs.get("data-id") or _id_in(REALITY_ID, c["url"])}
 
 
 def topreality_cards(root: Node) -> Iterator[dict]:
     for card in root.all("div", "estate"):
-        if link := _heading_link(card):
-            params = text_of(card, "params", "estate-params")
-            c = _card(PORTALS["topreality"], link, price_text=text_of(card, "price"), info_text=params, locality_text=text_of(card, "locality", "location"), description=text_of(card, "description") or params, full_text=card.text())
-            yield c | {"raw_id": card.attrs.get("data-id") or _number_in(c["url"], 4)}
+        if link := _any_link(card):
+            either = lambda x: text_of(card, x) or text_of(card, f"estate__{x}")  # noqa: B023,E731
+            params = either("params")
+            c = _card(PORTALS["topreality"], link, price_text=text_of(card, "price"), info_text=params, locality_text=either("locality"), description=text_of(card, "description") or params, full_text=card.text())
+            yield c | {"raw_id": _id_in(TOPREALITY_ID, c["url"])}
 
 
 def byty_cards(root: Node) -> Iterator[dict]:
@@ -203,7 +214,7 @@ def byty_cards(root: Node) -> Iterator[dict]:
         if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
             continue
         url = (site + href if href.startswith("/") else href).split("?")[0].rstrip("/")
-        number = _number_in(url[len(site) :], 5) if url.startswith(site) else None
+        number = _id_in(BYTY_ID, href) if url.startswith(site) else None
         title = a.text()
         if number and len(title) >= 5 and url not in seen:
             seen.add(url)
@@ -234,25 +245,30 @@ def cards(pages: DataFrame) -> DataFrame:
     return pages.select("portal", F.col("page_no").cast("int").alias("page_no"), "html").mapInArrow(run, f"portal string, page_no int, card_pos int, {CARD}")
 
 
+#: Portals whose facts may stand anywhere on the card, and those that name no place of their own.
+ANYWHERE, GUESSED = ("reality", "topreality"), ("reality", "topreality", "byty")
+
+
 def listings(cut: DataFrame) -> DataFrame:
     """Cards to listing rows, with nulls for what can't be parsed."""
     c = F.col
-    mined = F.concat_ws(" ", "title", "info_text", "description")
-    norm, norm_full = T.normalise(mined), T.normalise(c("full_text"))
+    anywhere = c("portal").isin(*ANYWHERE)
+    mined = F.concat_ws(" ", "title", "info_text", "description", F.when(anywhere, c("full_text")))
+    norm = T.normalise(mined)
     street, district = T.split_locality(c("locality_text"))
     whole_locality = F.when(c("locality_text") != "", c("locality_text"))
     is_bazos = c("portal") == "bazos"
-    anywhere = c("portal").isin("reality", "topreality")
     area = F.coalesce(T.area(c("info_text")), T.area(c("title")), F.when(anywhere, T.area(c("full_text"))))
-    price = F.coalesce(T.price(F.when(c("price_text") != "", c("price_text"))), F.when(anywhere & (c("price_text") == ""), T.price(c("full_text"))))
+    price = F.coalesce(T.price(F.when(c("price_text") != "", c("price_text"))), F.when(anywhere & F.contains("full_text", F.lit("€")), T.price(c("full_text"))))
+    raw = F.create_map(F.lit("locality"), "locality_text", F.lit("info"), F.left("info_text", F.lit(RAW_CHARS)), F.lit("card_text"), F.when(c("portal") != "nehnutelnosti", F.left("full_text", F.lit(RAW_CHARS))))
     return cut.select(
         T.listing_id(c("portal"), c("raw_id"), c("url")).alias("id"),
         "portal", "url", "title", price.alias("price_eur"), area.alias("area_m2"), T.rooms(norm).alias("rooms"),
         F.when(~is_bazos, street).alias("street"),
-        F.coalesce(F.when(is_bazos, whole_locality).otherwise(district), F.when(~is_bazos, T.guess_locality(norm_full))).alias("district"),
+        F.coalesce(F.when(is_bazos, whole_locality).otherwise(district), F.when(c("portal").isin(*GUESSED), T.guess_locality(norm))).alias("district"),
         T.floor_of(norm).alias("floor"), T.condition(norm).alias("condition"), T.balcony(norm).alias("balcony"),
         F.left(F.coalesce("description", F.lit("")), F.lit(SNIPPET)).alias("description_snippet"),
-        F.map_filter(F.create_map(F.lit("locality"), "locality_text", F.lit("params"), F.left("info_text", F.lit(RAW_CHARS))), lambda _, v: v != "").alias("raw"),
+        F.map_filter(raw, lambda _, v: v != "").alias("raw"),
         "page_no", "card_pos",
     )
 

@@ -102,4 +102,6 @@ def publish(done: Run, rules: Mapping, to: report.Publisher, date: str) -> None:
         to.send_message(report.project_message(numbered, date).first()["text"])
     titles = done.items.sparkSession.createDataFrame([(t,) for t in to.open_titles("scraper-broken")], "title string")
     for row in report.unreported(done.alerts, titles).collect():  # one for each portal at most
-        to.create_issue(f"Scraper broken: {row['portal']}", f"{row['portal']} returned nothing for {row['zero_streak']} runs in a row.", ["scraper-broken"])
+        portal, n = row["portal"], row["zero_streak"]
+        body = f"The `{portal}` scraper has produced **0 listings for {n} consecutive runs**: its pages or addresses may have changed, or it may be blocking us."
+        to.create_issue(f"{portal}: 0 listings for {n} consecutive runs", body, ["scraper-broken"])

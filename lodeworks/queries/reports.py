@@ -82,10 +82,10 @@ _FACTS = "' izbový byt, <b>' || z || ' m²</b>, ' || z || '. poschodie, novosta
 _HTML = f"""
 SELECT p_partkey, portal, 1 AS page_no, CASE portal
   WHEN 'bazos' THEN '<div class="inzeraty"><h2 class=nadpis><a href="/inzerat/' || k || '0001/x.php">Byt ' || k || '</a></h2><div class="popis">3' || {_FACTS} || '</div><div class="inzeratycena"><b>' || k || ' 500 €</b></div><div class="inzeratylok">Bratislava<br>811 0' || z || '</div></div>'
-  WHEN 'nehnutelnosti' THEN '<div class="advertisement-item" data-id="N' || k || '"><h2><a href="/detail/' || k || '">Byt ' || k || '</a></h2><div class="advertisement-item__price">' || k || '.500,- EUR</div><div class="advertisement-item__info">3' || {_FACTS} || '</div><div class="advertisement-item__locality">Ulica ' || z || ', Bratislava - Ružinov</div></div>'
+  WHEN 'nehnutelnosti' THEN '<div class="advertisement-item" data-id="N' || k || '"><h2><a href="/detail/' || k || '">Byt ' || k || '</a></h2><div class="advertisement-item--content__price">' || k || '.500,- EUR</div><div class="advertisement-item--content__info">3' || {_FACTS} || '</div><div class="advertisement-item--content__locality">Ulica ' || z || ', Bratislava - Ružinov</div></div>'
   WHEN 'reality' THEN '<article class="offer"><h2><a href="/byt/' || k || '0001/">Byt ' || k || '</a></h2><span class="offer__price">' || k || ' 500 €</span><p class="offer__address">Ulica ' || z || ', okres Senec</p><p class="offer__params">3' || {_FACTS} || '</p></article>'
-  WHEN 'topreality' THEN '<div class="estate"><h2><a href="/byt-r' || k || '0001.html">Byt ' || k || '</a></h2><strong class="price">' || k || ' 500 €</strong><span class="locality">Bratislava I</span><ul class="params"><li>3' || {_FACTS} || '</ul></div>'
-  ELSE '<nav><a href="#top">Hore na začiatok</a></nav><div><div><a href="/byt-' || k || '00001">Byt ' || k || ' 3' || {_FACTS} || '</a><span>' || k || ' 500 €</span></div></div>' END AS html
+  WHEN 'topreality' THEN '<div class="estate"><h2><a href="/byt-' || k || '0001.html">Byt ' || k || '</a></h2><strong class="price">' || k || ' 500 €</strong><span class="locality">Bratislava I</span><ul class="params"><li>3' || {_FACTS} || '</ul></div>'
+  ELSE '<nav><a href="#top">Hore na začiatok</a></nav><div><div><a href="/byt/' || k || '00001">Byt ' || k || ' 3' || {_FACTS} || '</a><span>' || k || ' 500 €</span></div></div>' END AS html
 FROM ({_CARDS})
 """
 
@@ -98,7 +98,7 @@ def card_extract(spark, sf):
 
 _CARD_SQL = f"""
 SELECT portal, CASE portal WHEN 'bazos' THEN 'bazos:' || k || '0001' WHEN 'nehnutelnosti' THEN 'nehnutelnosti:N' || k WHEN 'reality' THEN 'reality:' || k || '0001' WHEN 'topreality' THEN 'topreality:' || k || '0001' ELSE 'byty:' || k || '00001' END AS id,
-  CASE portal WHEN 'bazos' THEN 'https://reality.bazos.sk/inzerat/' || k || '0001/x.php' WHEN 'nehnutelnosti' THEN 'https://www.nehnutelnosti.sk/detail/' || k WHEN 'reality' THEN 'https://www.reality.sk/byt/' || k || '0001/' WHEN 'topreality' THEN 'https://www.topreality.sk/byt-r' || k || '0001.html' ELSE 'https://www.byty.sk/byt-' || k || '00001' END AS url,
+  CASE portal WHEN 'bazos' THEN 'https://reality.bazos.sk/inzerat/' || k || '0001/x.php' WHEN 'nehnutelnosti' THEN 'https://www.nehnutelnosti.sk/detail/' || k WHEN 'reality' THEN 'https://www.reality.sk/byt/' || k || '0001/' WHEN 'topreality' THEN 'https://www.topreality.sk/byt-' || k || '0001.html' ELSE 'https://www.byty.sk/byt/' || k || '00001' END AS url,
   CASE WHEN p_partkey = 0 THEN 500 ELSE p_partkey * 1000 + 500 END AS price_eur, CAST(z AS DOUBLE) AS area_m2, '3' AS rooms,
   CASE WHEN portal IN ('nehnutelnosti', 'reality') THEN 'Ulica ' || z END AS street,
   CASE portal WHEN 'bazos' THEN 'Bratislava 811 0' || z WHEN 'nehnutelnosti' THEN 'Bratislava - Ružinov' WHEN 'reality' THEN 'Senec' WHEN 'topreality' THEN 'Bratislava I' END AS district,

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import plain
 from ..operators.extract import PORTALS, PROJECT_SITE
 
 MOST_PAGES = 3
@@ -23,7 +22,7 @@ HEAD_CHARS = 4000
 SCHEMA = "portal string, page_no int, url string, status int, html string"
 
 #: What a page that blocks robots says near its top.
-CHALLENGES = ("captcha", "cf-challenge", "cf-browser-verification", "just a moment", "attention required", "access denied")
+CHALLENGES = ("just a moment", "cf-browser-verification", "cf_chl_", "attention required", "captcha", "access denied")
 BLOCKED = (403, 429, 503)
 
 
@@ -67,31 +66,31 @@ def paged(found: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     return new.where("is_new").join(open_, ["portal", "page_no"], "left_semi").drop("is_new")
 
 
-def slug(city: str) -> str:
-    return plain(city).replace(" ", "-")
-
-
 def search_url(portal: str, rules: dict, page: int) -> str:
     """The address of a result page; bazos also takes the price limit."""
     search, filters = rules.get("search") or {}, rules.get("filters") or {}
-    city = search.get("city") or "Bratislava"
-    site = PORTALS[portal]
+    city = search.get("city", "Bratislava")
+    site, lower = PORTALS[portal], city.lower()
+    more = lambda name: f"?{name}={page}" if page > 1 else ""
     if portal == "nehnutelnosti":
-        return f"{site}/vysledky/byty/{quote(slug(city))}/predaj" + (f"?{urlencode({'p[page]': page})}" if page > 1 else "")
+        return f"{site}/{lower}/byty/predaj/{more('p[page]')}"
     if portal == "topreality":
-        return f"{site}/vyhladavanie-nehnutelnosti{'-' + str(page) if page > 1 else ''}.html?{urlencode({'searchType': 'string', 'obec': city})}"
+        return f"{site}/vyhladavanie-nehnutelnosti-{page}.html?{urlencode({'searchType': 'string', 'q': city})}"
     if portal == "reality":
-        return f"{site}/byty/{quote(slug(city))}/predaj/" + (f"?page={page}" if page > 1 else "")
+        return f"{site}/byty/{lower}/predaj/{more('page')}"
     if portal == "bazos":
-        query = {"hledat": city, "cenado": int(filters["max_price_eur"]) if filters.get("max_price_eur") is not None else ""}
-        return f"{site}/predam/byt/{(page - 1) * BAZOS_PAGE_SIZE}/?{urlencode(query)}" if page > 1 else f"{site}/predam/byt/?{urlencode(query)}"
-    return f"{site}/predaj/byty/{quote(slug(city))}/" + (f"?strana={page}" if page > 1 else "")
+        query = {"hledat": city} | ({"cenado": int(filters["max_price_eur"])} if filters.get("max_price_eur") else {})
+        skip = f"{(page - 1) * BAZOS_PAGE_SIZE}/" if page > 1 else ""
+        return f"{site}/predam/byt/{skip}?{urlencode(query)}"
+    return f"{site}/byty/predaj/{lower}{more('strana')}"
 
 
 def project_list_url(rules: dict) -> str:
+    """The project list by type (none if it is empty) and districts."""
     p = rules.get("projects") or {}
-    pairs = [("type", p.get("type") or "Bývanie"), *[("district[]", d) for d in p.get("districts") or ("downtown", "ruzinov", "stare-mesto")]]
-    return f"{PROJECT_SITE}/zoznam-projektov?{urlencode(pairs)}"
+    kind = p.get("type", "Bývanie")
+    pairs = [("type", kind)] * bool(kind) + [("district[]", d) for d in p.get("districts") or ("downtown", "ruzinov", "stare-mesto")]
+    return f"{PROJECT_SITE}/zoznam-projektov?{urlencode(pairs, quote_via=quote)}"
 
 
 def robots_allow(url: str, robots_txt: str | None, agent: str = "*") -> bool:

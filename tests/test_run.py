@@ -48,7 +48,7 @@ def test_junk_gives_no_cards(portal):
 
 
 def test_neighbours_price_is_never_taken():
-    html = "<div><div><a href='/byt-1234567'>Prvý byt</a></div><div><a href='/byt-7654321'>Druhý byt</a><b>100 000 €</b></div><div><a href='/byt-5555555'>Tretí</a><b>200 000 €</b></div></div>"
+    html = "<div><div><a href='/byt/1234567'>Prvý byt</a></div><div><a href='/byt/7654321'>Druhý byt</a><b>100 000 €</b></div><div><a href='/byt/5555555'>Tretí</a><b>200 000 €</b></div></div>"
     got = {c["raw_id"]: c["price_text"] for c in extract.byty_cards(extract.parse(html))}
     assert "100 000" in got["7654321"] and got["1234567"] == ""
 
