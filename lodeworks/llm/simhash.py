@@ -6,9 +6,9 @@ under one such key meet in a bucket, and are verified there. Fingerprints enter
 documents have them, and a bucket gives links that grow with its members, not with their pairs.
 
 `link_hamming` is exact: it links all fingerprints within 2 bits, from two segments of 32.
-`near_duplicates` finds similar texts: more and shorter segments from further hash bits find candidates, the
-64-bit fingerprint screens them, and the shingles decide (similarity of 0.8, words of five, unless told
-otherwise).
+`near_duplicates` finds similar texts: sets of shingles that are similar enough share one of their first, which
+finds all candidates; fingerprints name leaders in large buckets, and the whole sets decide (similarity of 0.8,
+words of five, unless told otherwise).
 """
 
 from __future__ import annotations
@@ -132,28 +132,8 @@ def _linked(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray
             yield fps[hit], other[hit]
 
 
-def _candidates(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket within `most` bits: all of them in a small one. In a larger one every member meets
-    leaders: the member nearest to the bucket's majority leads all within reach, and so on with the rest."""
-    fps = np.unique(fps)
-    if len(fps) <= PAIRS:
-        a, b = np.nonzero(np.triu(_bits_off(fps[:, None], fps[None, :]) <= most, 1))
-        yield fps[a], fps[b]
-        return
-    rest = np.ones(len(fps), bool)
-    while rest.any():
-        centre = np.uint64(majority(fps[rest]))
-        own = np.flatnonzero(rest)
-        lead = own[_bits_off(fps[own], centre).argmin()]
-        near = _bits_off(fps, fps[lead]) <= most
-        rest &= ~near
-        rest[lead] = near[lead] = False
-        yield np.full(near.sum(), fps[lead]), fps[near]
-
-
-def _bucket_links(most: int, exact: bool):
+def _bucket_links(most: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    of_bucket = _linked if exact else _candidates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,7 +147,7 @@ def _bucket_links(most: int, exact: bool):
             ok = _bits_off(fps[two], fps[two + 1]) <= most
             found = [(fps[two][ok], fps[two + 1][ok])]
             for s, e in zip(starts[size > 2], ends[size > 2], strict=True):
-                found += of_bucket(fps[s:e], most)
+                found += _linked(fps[s:e], most)
             a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
             if len(a):
                 both = np.unique(np.stack([a, b], 1), axis=0)
@@ -192,17 +172,17 @@ def _bucket_links(most: int, exact: bool):
     return run
 
 
-def bucket_links(index: DataFrame, bits: int, most: int, exact: bool) -> DataFrame:
+def bucket_links(index: DataFrame, bits: int, most: int) -> DataFrame:
     """(a, b) from an index of (fp, segments): fp must be distinct."""
     keys = index.select(F.explode(variants(F.col("segments"), bits)).alias("key"), "fp")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(most, exact), "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(most), "a long, b long")
 
 
 def link_hamming(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all within 2 bits, by two segments."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     segments = F.array(low, F.shiftrightunsigned("fp", 32))
-    return bucket_links(fps.select("fp", segments.alias("segments")), 32, 2, exact=True)
+    return bucket_links(fps.select("fp", segments.alias("segments")), 32, 2)
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -226,55 +206,258 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Segments of the search for similar texts; their length follows the number of texts.
-SEGMENTS = 12
+#: Rows of which the common shingles are taken, and how many of those are told from the rest. Both only order the
+#: shingles: any order finds the same pairs.
+SAMPLE, COMMON = 20_000, 100_000
+
+
+def _prefix(m: int, similarity: float) -> int:
+    """So many of the first of m shingles that two sets of this similarity share one of them, in any order."""
+    return m - math.ceil(similarity * m - 1e-9) + 1 if m else 0
+
+
+def _shingle_sets(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """near_row, doc_id, n; the set's digest (h1, h2), its size m, its fingerprint fp and its first shingles in the
+    order of the search: those not known to be common, then the common by their count."""
+    values, ranks = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, m, fps, parities, keys = [], [], [], [], []
+            for text in batch.column("text"):
+                h = np.unique(shingle_hashes(text.as_py(), words))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(majority(h))
+                parities.append(_parity(h))
+                m.append(len(h))
+                rank = np.zeros(len(h), np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                    rank = np.where(values[at] == h, ranks[at], 0)
+                keys.append(h[np.lexsort((h, rank))[: _prefix(len(h), similarity)]].view(np.int64))
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("near_row", "doc_id", "n")), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(m, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parities, pa.binary()), lists], names=["near_row", "doc_id", "n", "h1", "h2", "m", "fp", "parity", "keys"])
+
+    return run
+
+
+_SETS = "near_row long, doc_id long, n int, h1 long, h2 long, m int, fp long, parity binary, keys array<long>"
+
+
+def _common(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several rows of a sample have, in order, and their ranks by count (from 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("near_row"), F.lit(max(1, rows // SAMPLE))) == 0)
+    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= 8)
+    most = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    values = np.array([r.h for r in most], np.int64).view(np.uint64)
+    ranks = np.array([r["count"] for r in most], np.int64)
+    order = np.argsort(values)
+    return values[order], ranks[order]
+
+
+def _may(m: np.ndarray, pos: np.ndarray, i, j, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places can be similar enough: never false if they are."""
+    reach = np.minimum(m[i] - pos[i], m[j] - pos[j])
+    return reach >= similarity / (1 + similarity) * (m[i] + m[j]) - 1e-6
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The buckets (rows of one key) of more than one member, from batches sorted by key."""
+    held: list[list[np.ndarray]] = []
+
+    def cut(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(columns[0])]))
+        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            yield tuple(c[s:e] for c in columns)
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(columns[0]):
+            continue
+        last = np.searchsorted(columns[0], columns[0][-1])
+        if held and columns[0][0] == columns[0][-1] == held[-1][0][-1]:
+            held.append(columns)
+            continue
+        held.append([c[:last] for c in columns])
+        yield from cut([np.concatenate(c) for c in zip(*held, strict=True)])
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield from cut([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("m", pa.int32()), ("pos", pa.int32())])
+
+
+def _first_pairs(similarity: float, screen: int):
+    """All pairs (a, b) of a small bucket that can be similar. Of a larger one, pairs with a few leaders, each the
+    member nearest to the majority of those left; and its members (a, without b), for the exact pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            a, b, key, m, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=key != 0), pa.array(key), pa.array(m.astype(np.int32)), pa.array(pos.astype(np.int32))], schema=_FOUND)
+
+        for key, node, m, pos, fp in _buckets(batches, ("key", "node", "m", "pos", "fp")):
+            n = len(node)
+            if n <= PAIRS:
+                i, j = np.triu_indices(n, 1)
+                ok = _may(m, pos, i, j, similarity)
+                i, j = i[ok], j[ok]
+            else:
+                fps, rest, found = fp.view(np.uint64), np.ones(n, bool), []
+                for _ in range(PAIRS):
+                    own = np.flatnonzero(rest)
+                    if len(own) < 2:
+                        break
+                    lead = own[np.lexsort((node[own], _bits_off(fps[own], np.uint64(majority(fps[own])))))[0]]
+                    near = own[(_bits_off(fps[own], fps[lead]) <= screen) & (own != lead)]
+                    near = near[_may(m, pos, near, lead, similarity)]
+                    rest[near] = rest[lead] = False
+                    found.append((np.full(len(near), lead), near))
+                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                out.append([node, node, np.where(key == 0, 1, key), m, pos])
+                size += n
+            if len(i):
+                none = np.zeros(len(i), np.int64)
+                out.append([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), none, none, none])
+                size += len(i)
+            if size > 50_000:
+                yield packed()
+                out, size = [], 0
+        if out:
+            yield packed()
+
+    return run
+
+
+def _known_sets(words: int, most: int = 1000):
+    """Sets of shingles by node, of which the latest are held."""
+    known: dict[int, np.ndarray] = {}
+
+    def shingles(node: int, text: str) -> np.ndarray:
+        if node not in known:
+            if len(known) >= most:
+                del known[next(iter(known))]
+            known[node] = np.unique(shingle_hashes(text, words))
+        return known[node]
+
+    return shingles
+
+
+def _near(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+
+#: Bits of a set's parities, for small and for large sets: sets differ in as many members as their parities in bits,
+#: or more.
+PARITIES, SMALL = (1024, 8192), 1500
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    bits = PARITIES[len(hashes) > SMALL]
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _folded(parity: bytes) -> np.ndarray:
+    """The parities of a set as those of a small one."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, PARITIES[0] // 64), axis=0)
+
+
+def _rest_pairs(similarity: float):
+    """All pairs of a bucket in different components (part), but for those that an exact bound refutes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, m, pos, part, parity in _buckets(batches, ("key", "node", "m", "pos", "part", "parity")):
+            folded = np.stack([_folded(x) for x in parity])
+            whole_ = {k: np.frombuffer(parity[k], np.uint64) for k in np.flatnonzero(m > SMALL).tolist()}
+            most = (1 - similarity) / (1 + similarity)
+            for i in range(len(node) - 1):
+                j = np.arange(i + 1, len(node))
+                j = j[(part[j] != part[i]) & _may(m, pos, j, i, similarity)]
+                apart = np.bitwise_count(folded[j] ^ folded[i]).sum(1, dtype=np.int64)
+                j = j[apart <= most * (m[j] + m[i]) + 1e-6]
+                if i in whole_:
+                    j = j[[k not in whole_ or int(np.bitwise_count(whole_[k] ^ whole_[i]).sum(dtype=np.int64)) <= most * (m[k] + m[i]) + 1e-6 for k in j.tolist()]] if len(j) else j
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    return run
+
+
+#: Rows to compare up to this number are told to the tasks that read texts; more are joined.
+BROADCAST_NODES = 1_000_000
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which the whole sets of shingles are similar enough."""
+    nodes = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("near_row")).distinct(), "near-nodes")
+    some = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    own = shared.written(texts.join(some, "near_row", "left_semi").select("near_row", "text"), "near-texts")
+    side = lambda x: own.select(F.col("near_row").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = _known_sets(words)
+        for batch in batches:
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)
+            keep = [_near(shingles(x, s.as_py()), shingles(y, t.as_py()), similarity) for x, y, s, t in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def segment_bits(n: int) -> int:
-    """So long that a segment with one bit deleted meets about one unrelated text in eight."""
-    return max(20, min(40, math.ceil(math.log2(max(n, 2))) + 3))
+    out = shared.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
+    shared.drop(nodes, own)
+    return out
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, similarity: float = 0.8, screen: int = 16, smallest: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, similarity: float = 0.8, screen: int = 16) -> DataFrame:
     """df with near_of (long): the row number of the row that stays for its group, and near_row, its own.
 
-    Texts are near when the Jaccard similarity of their sets of word shingles is at least `similarity`; it is
-    taken from the `smallest` least hashes of the two sets, so it is exact up to that many shingles and
-    unbiased beyond. Candidates share a segment but for one bit and differ in at most `screen` bits of 64:
-    at a similarity of 0.8 about 85 % of pairs meet, at 0.9 over 99 %. Of a group the longest text stays,
-    then the smallest doc_id (null last), then the first row. Texts without words are near each other.
-    Columns of df keep their names; near_of and near_row are replaced.
+    Texts are near when the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are
+    the components of all near pairs, exactly and at every size. Two such sets share one of their first shingles
+    (see _prefix), so each distinct set is indexed by those, and every candidate is verified on whole sets. A large
+    bucket first links its members to leaders (`screen` bits of 64 around each), then gives all pairs that are
+    not yet in one component. Of a group the longest text stays, then the smallest doc_id (null last), then
+    the first row. Texts without words are near each other. Columns of df keep their names; near_of and near_row
+    are replaced.
     """
     df = df.drop("near_of", "near_row")
     spark = df.sparkSession
     numbered = shared.written(df.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.count()
-    bits = segment_bits(rows)
-    streams = 1 + math.ceil(SEGMENTS / (64 // bits))
-    prints = fingerprints(numbered.select("near_row", F.col(id_column).cast("long").alias("doc_id"), F.length(whole(text)).alias("n"), F.col(text).alias("text")), "text", words, streams, smallest)
-    prints = shared.written(prints, "prints")
-    # One row stands for all with a fingerprint.
+    texts = numbered.select("near_row", F.col(id_column).cast("long").alias("doc_id"), F.length(whole(text)).alias("n"), whole(text).alias("text"))
+    sets = texts.mapInArrow(_shingle_sets(words, similarity, _common(texts, numbered.count(), words)), _SETS)
+    sets = shared.written(sets, "sets")
+    # One row stands for all with the same set.
     better = F.struct((-F.col("n")).alias("n"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("near_row").alias("r"))
-    heads = prints.groupBy("fp").agg(F.min(better)["r"].alias("near_row"))
-    heads = shared.written(prints.join(heads, ["fp", "near_row"], "left_semi").select("fp", "more", "low"), "heads")
-    per = 64 // bits
-    cut = [F.shiftrightunsigned(F.get("more", F.lit(k // per)), k % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(SEGMENTS)]
-    pairs = bucket_links(heads.select("fp", F.array(*cut).alias("segments")), bits, screen, exact=False)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    low = heads.select("fp", "low")
-    checked = pairs.join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
-    near = checked.where(_similar("la", "lb", smallest) >= similarity).select("a", "b")
-    parts = graph.components(near)
-    with_head = prints.select("near_row", "fp", "doc_id", "n", "low").join(low.select("fp", F.col("low").alias("head")), "fp")
-    # A row whose shingles don't match those that its fingerprint stands for is a group of its own.
-    own = _similar("low", "head", smallest) >= similarity
-    grouped = with_head.select("near_row", "fp", "doc_id", "n", own.alias("own")).join(parts, F.col("fp") == F.col("node"), "left")
-    grouped = grouped.withColumn("part", F.coalesce("component", "fp")).drop("component", "node", "fp")
-    grouped = shared.written(grouped, "grouped")
-    shared.drop(prints, heads)
-    stays = grouped.where("own").groupBy("part").agg(F.min(better)["r"].alias("stays"))
-    verdict = grouped.join(stays, "part", "left").select("near_row", F.when(F.col("own"), F.col("stays")).otherwise(F.col("near_row")).alias("near_of"))
-    return numbered.join(verdict, "near_row")
+    heads = shared.written(sets.groupBy("h1", "h2").agg(F.min(better)["r"].alias("head")), "heads")
+    index = sets.join(heads.select(F.col("head").alias("near_row")), "near_row", "left_semi").select(F.col("near_row").alias("node"), "m", "fp", F.posexplode("keys").alias("pos", "key"))
+    found = shared.written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_first_pairs(similarity, screen), "a long, b long, key long, m int, pos int"), "found")
+    spark.sparkContext._jvm.System.gc()  # Spark deletes the index's shuffle files once nothing refers to them
+    first = shared.written(found.where("b IS NOT NULL").select("a", "b").distinct(), "first-pairs")
+    near = _verified(first, texts, words, similarity)
+    parts = shared.written(graph.components(near), "first-parts")
+    large = found.where("b IS NULL").join(parts, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("node"), "m", "pos", F.coalesce("component", "a").alias("part"))
+    split = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    rest = large.join(split, "key", "left_semi").join(sets.select(F.col("near_row").alias("node"), "parity"), "node")
+    rest = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_rest_pairs(similarity), "a long, b long")
+    rest = shared.written(rest.distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    shared.drop(found, first)
+    parts = graph.components(near.unionByName(_verified(rest, texts, words, similarity)))
+    grouped = sets.select("near_row", "doc_id", "n", "h1", "h2").join(heads, ["h1", "h2"]).join(parts, F.col("head") == F.col("node"), "left")
+    grouped = shared.written(grouped.select("near_row", "doc_id", "n", F.coalesce("component", "head").alias("part")), "grouped")
+    shared.drop(sets, heads, rest)
+    stays = grouped.groupBy("part").agg(F.min(better)["r"].alias("near_of"))
+    return numbered.join(grouped.join(stays, "part").select("near_row", "near_of"), "near_row")
 
 
 def _similar(a: str, b: str, smallest: int) -> Column:
