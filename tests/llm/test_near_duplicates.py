@@ -47,3 +47,16 @@ def test_every_pair_at_the_threshold_is_found(spark):
     want = _brute(texts)
     assert 60 <= 200 - len(set(want)) < 100
     assert _same(_groups(spark, texts), want)
+
+
+def test_large_buckets_lose_no_pair(spark):
+    rng = random.Random(2)
+    line = [f"line{i}" for i in range(10)] * 30
+    texts = []
+    for _ in range(100):  # one passage in all, and a near copy of each
+        text = [rng.choice(WORDS) for _ in range(300)]
+        texts += [" ".join(text + line), " ".join(_edited(rng, text, 4) + line)]
+    base = [rng.choice(WORDS) for _ in range(150)]
+    texts += [" ".join(_edited(rng, base, rng.choice((1, 2, 3)))) for _ in range(60)]  # one group by chains: many pairs below the threshold
+    want = _brute(texts)
+    assert _same(_groups(spark, texts), want) and len(set(want[:200])) == 100
