@@ -60,3 +60,24 @@ def test_large_buckets_lose_no_pair(spark):
     texts += [" ".join(_edited(rng, base, rng.choice((1, 2, 3)))) for _ in range(60)]  # one group by chains: many pairs below the threshold
     want = _brute(texts)
     assert _same(_groups(spark, texts), want) and len(set(want[:200])) == 100
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    rng = random.Random(3)
+    texts = []
+    for k in range(24):
+        text = [rng.choice(WORDS) for _ in range(2000)]
+        texts += [" ".join(text), " ".join(_edited(rng, text, 43 if k % 2 else 46))]  # just above and just below 0.8
+    want = _brute(texts)
+    assert len(set(want)) == 36
+    assert _same(_groups(spark, texts), want)
+
+
+def test_sets_of_one_fingerprint_are_all_compared(spark):
+    rng = random.Random(4)
+    line = [f"line{i}" for i in range(11)] * 100  # most of each text, so that it alone makes a fingerprint of repeated shingles
+    texts = []
+    for _ in range(10):
+        text = [rng.choice(WORDS) for _ in range(200)]
+        texts += [" ".join(text + line), " ".join(_edited(rng, text, 2) + line)]
+    assert _same(_groups(spark, texts), _brute(texts))
