@@ -186,8 +186,15 @@ def _is_article(name: str) -> bool:
     return tag in ("article", "main") or (tag in ("div", "section", "td") and bool(ARTICLE.intersection(marks)))
 
 
+def _block(path: list[str]) -> str:
+    """The path of the innermost block that a slot lies in."""
+    ends = [k for k, name in enumerate(path) if _words(name)[0] in BLOCKS]
+    return "/".join(path[: ends[-1] + 1] if ends else path[:1])
+
+
 def main_slots(wrapper: list, pages: int) -> set[str]:
-    """Paths (names joined by /) of the slots that hold the article."""
+    """Paths (names joined by /) of the slots that hold the article: all in any article's element, for the pages
+    that have one, and those for pages without."""
     slots: list[tuple[str, list[str], list]] = []
 
     def walk(part: list, path: list[str]) -> None:
@@ -198,42 +205,33 @@ def main_slots(wrapper: list, pages: int) -> set[str]:
                 walk(p, [*path, part[0]])
 
     walk(wrapper, [])
-    weight: dict[str, int] = {}
-    for _, path, (_, chars, links, _) in slots:
-        for k, name in enumerate(path):
-            if _is_article(name):
-                own = "/".join(path[: k + 1])
-                weight[own] = weight.get(own, 0) + chars - links
-    if weight:
-        most = max(weight.values())
-        # The innermost element that still has nearly all of the text.
-        home = max((p for p, w in weight.items() if w >= 0.7 * most), key=lambda p: p.count("/"))
-        inside = [s for s in slots if (s[0] + "/").startswith(home + "/")]
-    else:
-        inside = [s for s in slots if s[2][2] < 0.5 * s[2][1] and not {"header", "title"} & {n.split(".")[0] for n in s[1]}]
-    if weight:
-        return {key for key, _, _ in inside}
-    # Without an article's element, what is the same on every page is the template's.
+    chosen = {key for key, path, _ in slots if any(map(_is_article, path))}
+    # Outside, what is mostly links or the same on every page is the template's; a block's sentences go together.
     template = lambda s: s[3] and s[0] >= SAME_ON and pages >= SAME_ON
-    by_path: dict[str, list] = {}
-    for key, _, stats in inside:
-        by_path.setdefault(key, []).append(stats)
-    return {key for key, all_ in by_path.items() if not all(template(s) for s in all_)}
+    blocks: dict[str, list[tuple[str, list]]] = {}
+    for key, path, stats in slots:
+        if key not in chosen and not {"header", "title"} & {_words(n)[0] for n in path}:
+            blocks.setdefault(_block(path), []).append((key, stats))
+    for own in blocks.values():
+        if sum(s[2] for _, s in own) < 0.5 * sum(s[1] for _, s in own) and not all(template(s) for _, s in own):
+            chosen.update(key for key, _ in own)
+    return chosen
 
 
 def extract(page: str, slots: set[str] | None) -> str:
     """The text of a page's main slots (all that isn't dropped by name, if the host has none): blocks in page
-    order, joined by line ends."""
-    blocks: list[str] = []
-    now: list[str] = []
+    order, joined by line ends. If any of it is in an article's element, only what is."""
+    blocks: tuple[list[str], list[str]] = ([], [])  # outside and in an article's element
+    now: tuple[list[str], list[str]] = ([], [])
     path: list[str] = [""]
-    dropped = 0
+    dropped = inside = 0
 
     def end() -> None:
-        text = " ".join("".join(now).split())
-        if text:
-            blocks.append(text)
-        now.clear()
+        for parts, out in zip(now, blocks, strict=True):
+            text = " ".join("".join(parts).split())
+            if text:
+                out.append(text)
+            parts.clear()
 
     keys = [""]
     for kind, x in stream(page):
@@ -243,19 +241,22 @@ def extract(page: str, slots: set[str] | None) -> str:
             path.append(x)
             keys.append(keys[-1] + "/" + x)
             dropped += not _kept_by_name(x)
+            inside += _is_article(x)
         elif kind == "close":
             if x in BLOCKS:
                 end()
             if len(path) > 1:
-                dropped -= not _kept_by_name(path.pop())
+                name = path.pop()
+                dropped -= not _kept_by_name(name)
+                inside -= _is_article(name)
                 keys.pop()
         elif kind == "void":
             if x in ("br", "hr"):
-                now.append("\n")
+                now[inside > 0].append("\n")
         elif not dropped and (slots is None or keys[-1] in slots):
-            now.append(html.unescape(x))
+            now[inside > 0].append(html.unescape(x))
     end()
-    return "\n".join(blocks)
+    return "\n".join(blocks[1] or blocks[0])
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +339,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     The host is what the url has between :// and the next slash (null and other urls share the host ""). A
     null html is an empty page. Repeated rows widen a wrapper no further. Pages of a host whose wrapper has no
-    article give all text that isn't excluded by name. A column named text is replaced; host is not kept.
+    chosen slot give all text that isn't excluded by name. A column named text is replaced; host is not kept.
     """
     from . import shared
 

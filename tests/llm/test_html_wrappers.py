@@ -37,3 +37,22 @@ def test_any_order_of_pages_gives_the_same_slots():
 
 def test_empty(spark):
     assert hw.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _texts(spark, pages):
+    rows = [(i, f"https://h.example/{i}", page) for i, page in enumerate(pages)]
+    out = hw.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return {r.page_id: r.text for r in out}
+
+
+def test_every_layout_of_a_host_keeps_its_article(spark):
+    bodies = ["<article class='post category {}'><p>{}</p></article>", "<main><p>{1}</p></main>", "<div class=content><p>{1}</p></div>", "<div class=text><p>{1}</p></div>"]
+    words = [f"Words of page {i} that are its own and long enough" * 3 for i in range(24)]
+    pages = ["<html><body><div class=x>" + bodies[i % 4].format(("news", "sport")[i // 4 % 2], w) + "</div><footer>f</footer></body></html>" for i, w in enumerate(words)]
+    assert _texts(spark, pages) == dict(enumerate(words))
+
+
+def test_an_article_keeps_its_lead(spark):
+    page = "<html><body><div class=intro>Not in it {0}</div><article><p>Lead of {0}.</p><div class=body><p>" + "Long text of {0}. " * 20 + "</p></div><section><p>Second part of {0}.</p></section></article></body></html>"
+    out = _texts(spark, [page.format(i) for i in range(12)])
+    assert all(t.startswith(f"Lead of {i}.\nLong text of {i}.") and t.endswith(f"\nSecond part of {i}.") for i, t in out.items())
