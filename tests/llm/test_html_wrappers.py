@@ -56,3 +56,8 @@ def test_an_article_keeps_its_lead(spark):
     page = "<html><body><div class=intro>Not in it {0}</div><article><p>Lead of {0}.</p><div class=body><p>" + "Long text of {0}. " * 20 + "</p></div><section><p>Second part of {0}.</p></section></article></body></html>"
     out = _texts(spark, [page.format(i) for i in range(12)])
     assert all(t.startswith(f"Lead of {i}.\nLong text of {i}.") and t.endswith(f"\nSecond part of {i}.") for i, t in out.items())
+
+
+def test_inline_links_stay_without_an_article(spark):
+    page = "<html><body><ul><li><a href=/>Home</a></li><li><a href=/b>Page {0}</a></li></ul><div class=text><p>Other <a href=x>link</a> text {0}.</p><p>See <a href=y>there {0}</a> for all of it.</p></div></body></html>"
+    assert _texts(spark, [page.format(i) for i in range(12)]) == {i: f"Other link text {i}.\nSee there {i} for all of it." for i in range(12)}
