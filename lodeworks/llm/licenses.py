@@ -5,7 +5,7 @@ one, copyright lines left out, punctuation and white space reduced to single spa
 up among the digests of known licences by a hash join. Nothing is matched in part: a unit is a licence's whole
 text or it isn't.
 
-The known texts are few and fixed (KNOWN), so their table is broadcast; callers can pass a table of their own,
+The known texts are few and fixed (KNOWN, MORE, WHOLE), so their table is broadcast; callers can pass a table of their own,
 which is broadcast only up to BROADCAST_ROWS.
 """
 
@@ -68,6 +68,48 @@ KNOWN = (
     ("Proprietary", "proprietary", "All rights reserved."),
 )
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_FREE = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+
+#: More whole licences and headers, as KNOWN.
+MORE = (
+    ("BSD-2-Clause", "permissive", f"{_BSD}\n{_BSD_AS_IS}"),
+    ("BSD-2-Clause", "permissive", f"BSD 2-Clause License\n{_BSD}\n{_BSD_AS_IS}"),
+    ("BSD-3-Clause", "permissive", f"{_BSD}\n{_BSD_NAME}\n{_BSD_AS_IS}"),
+    ("BSD-3-Clause", "permissive", f"BSD 3-Clause License\n{_BSD}\n{_BSD_NAME}\n{_BSD_AS_IS}"),
+    ("GPL-2.0", "copyleft", _FREE.format("program", ";", "General Public License", ";", "2")),
+    ("LGPL-2.1", "copyleft", _FREE.format("library", ";", "Lesser General Public License", ";", "2.1")),
+    ("LGPL-3.0", "copyleft", _FREE.format("library", ":", "Lesser General Public License", ",", "3")),
+    ("LGPL-3.0", "copyleft", _FREE.format("program", ":", "Lesser General Public License", ",", "3")),
+    ("AGPL-3.0", "copyleft", _FREE.format("program", ":", "Affero General Public License", ",", "3")),
+)
+
+#: Fixed values: (licence, class, digest of the canonical form of the whole licence as Debian ships it).
+WHOLE = (
+    ("Apache-2.0", "permissive", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", "permissive", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),  # terms alone
+    ("Artistic-1.0-Perl", "permissive", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("BSD-3-Clause", "permissive", "ede163f2edeebd1d089aa16b5c070d0cb609da9e4b54694c28813a0d4b3cbb7a"),
+    ("CC0-1.0", "public-domain", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "copyleft", "0b0bdb2aa65f9520f9ce254a83e2a3cd2311afa0ec8e2c032ca0881162e501de"),
+    ("GFDL-1.3", "copyleft", "1b415ab652fac36805ea234c35222ba0b74419cde07b2216376975277f49be49"),
+    ("GPL-1.0", "copyleft", "6f5c7230988625621d6aef85fe9fe28457b6de566f69367e06edfd929948004f"),
+    ("GPL-1.0", "copyleft", "6c07dfb5e6ddc39fe93ae803d39b67367c21b50207b645111c04cd08cb283d70"),  # terms alone
+    ("GPL-2.0", "copyleft", "b526a53542157228137d3971d4ffac3da05f212e433c3b56dac3bc0dc50c922c"),
+    ("GPL-2.0", "copyleft", "f79b9e516923cc213c21d12fd8a51b4067992b2728a442e31fd53d078dd25632"),  # terms alone
+    ("GPL-3.0", "copyleft", "9171ac452a97999a447405598568f4e230127eb5aa145d350816f05fe44436d7"),
+    ("GPL-3.0", "copyleft", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b"),  # terms alone
+    ("LGPL-2.0", "copyleft", "62fbbadf77aa58d58c5faefddd29f63ecd0ff7c2f6ce2fb8c83ff136b68b574b"),
+    ("LGPL-2.0", "copyleft", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),  # terms alone
+    ("LGPL-2.1", "copyleft", "19d5cec7cfb71e236cf47696f9e7cef4fd5504fb81a1f44dab64fa51d49e09a7"),
+    ("LGPL-2.1", "copyleft", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),  # terms alone
+    ("LGPL-3.0", "copyleft", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "copyleft", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "copyleft", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only says whose the text is.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
@@ -84,9 +126,11 @@ def canonical(unit: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license, class) of KNOWN; a digest once."""
-    table = spark.createDataFrame([*KNOWN], "license string, class string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "class").dropDuplicates(["digest"])
+    """(digest, license, class) of KNOWN, MORE and WHOLE; a digest once."""
+    table = spark.createDataFrame([*KNOWN, *MORE], "license string, class string, text string")
+    table = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "class")
+    whole_ones = spark.createDataFrame([*WHOLE], "license string, class string, digest string").select("digest", "license", "class")
+    return table.unionByName(whole_ones).dropDuplicates(["digest"])
 
 
 def units(text: Column) -> Column:

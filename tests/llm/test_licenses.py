@@ -1,3 +1,5 @@
+import os
+
 from lodeworks.llm import licenses
 
 
@@ -22,3 +24,16 @@ def test_hard_inputs(docs, no_docs):
     out = licenses.scan(docs)
     assert out.count() == 9 and out.where("size(licenses) > 0").count() == 0 and out.where("permitted").count() == 9
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_whole_licences_and_headers_are_known(spark):
+    folder = "/usr/share/common-licenses"
+    whole = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, want in whole.items():
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                assert _scan(spark, f.read()).whole_license == want
+    for name, _, text in licenses.MORE:
+        r = _scan(spark, "Copyright (c) 2021 Somebody\n\n" + text)
+        assert r.whole_license == name and r.permitted
+    assert _scan(spark, "Code.\n\n" + dict((n, t) for n, _, t in licenses.MORE)["AGPL-3.0"]).licenses == ["AGPL-3.0"]
