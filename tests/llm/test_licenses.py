@@ -37,3 +37,25 @@ def test_whole_licences_and_headers_are_known(spark):
         r = _scan(spark, "Copyright (c) 2021 Somebody\n\n" + text)
         assert r.whole_license == name and r.permitted
     assert _scan(spark, "Code.\n\n" + dict((n, t) for n, _, t in licenses.MORE)["AGPL-3.0"]).licenses == ["AGPL-3.0"]
+
+
+def test_copyright_heads_are_left_out(spark):
+    mit = next(t for n, _, t in licenses.KNOWN if n == "MIT")
+    for head in ("Copyright (c) Jane Doe", "Copyright (c) 2001 Jane Doe\nAll rights reserved.", "© Jane Doe. All rights reserved.", "(c) 1999, 2001 Jane Doe\n  All Rights Reserved"):
+        r = _scan(spark, f"{head}\n\n{mit}")
+        assert r.whole_license == "MIT" and r.permitted, head
+    r = _scan(spark, "Prose.\nAll rights reserved.\nMore prose.")
+    assert r.licenses == ["Proprietary"] and not r.permitted
+    # A line that begins like one but says something else stays.
+    assert licenses.canonical("(c) You must keep this\ncopyright holder be liable") == "c you must keep this copyright owner be liable"
+
+
+def test_spellings_of_two_words_cross_line_ends():
+    assert licenses.canonical("the Copyright\n  Holders' per\ncent, at http") == "the copyright owners percent at http"
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", 2, 3, 4, 5, "old")], "doc_id long, text string, scan_row int, row int, doc int, whole int, licenses string")
+    r = licenses.scan(df).first().asDict()
+    assert (r["scan_row"], r["row"], r["doc"], r["whole"], r["licenses"]) == (2, 3, 4, 5, ["MIT"])
+    assert licenses.scan(df.select("text")).first().whole_license == "MIT"
