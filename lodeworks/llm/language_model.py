@@ -1,21 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words with at least N / 50,000 of the N training tokens are the n-gram vocabulary (so it has 50,000 words at
-most, and no bound is put on it by hand); all others share one rare class. A pair of neighbours with count c
-has level q = 1 + floor(log_BASE c); the filter holds (pair, 1) ... (pair, q), so its count is read back by
-probing level after level until one fails, as the least count that has the level reached. Small counts come
-back exactly.
+Every word and every pair of neighbours of the training texts is counted. A pair with count c has level q, the
+place of c among the steps of a log scale (STEPS); the filter holds (pair, 1) ... (pair, q), so its count is read
+back by probing level after level until one fails, as the least count that has the level reached. Small counts
+come back exactly.
 
     P(w | u) = (count(u, w) + MASS * P1(w)) / (count(u) + MASS)
 
-where P1 is the smoothed unigram probability. A rare w gets its share of the rare class by P1. As counts come
-back too low rather than too high, the probabilities after a word sum to 1 at most (but for false positives,
-about 1 % of absent pairs, read as 1).
+where P1 is the smoothed unigram probability. As a logarithm it is a part of single words, which exact counts give
+(those of frequent words are broadcast, the rest meet the table of words in a join), and the part of the pair,
+log(1 + count(u, w) / (MASS * P1(w))). For a w that isn't frequent the filter holds its own count as well, read from
+above there. So the probabilities after a word sum to 1 at most (but for false positives, about one in 200 absent
+pairs, read as 1).
 
-The filter has BITS_EACH bits for each level held, 2 ** 28 at most (32 MB, broadcast). If a corpus needs more,
-the lowest levels' pairs are left to the unigram term. It is built in slices, each by one task from the pairs
-that fall in it. Unigram counts of all words stay a distributed table: frequent words, 200,000 at most by the
-same argument, are looked up in each task, the rest meet the table in a join.
+The filter is cut into slices by hash, each built by one task from the counts that fall in it, as many as the
+corpus asks for (SLICE_KEYS tokens each). A token's pair and its word lie in one slice, so the parts of a score
+add up over slices, whichever of them a pass holds: slices are broadcast in rounds of `round_bytes`, one round if
+they fit. Nothing is left out at any size.
 """
 
 from __future__ import annotations
@@ -26,19 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .text import whole
+from .text import portions, whole
 from .toxicity import fold
 
 END = b"\n"  # no word has white space
-NGRAM_SHARE, WORD_SHARE = 50_000, 200_000
+#: Words with at least N / WORD_SHARE of the N training tokens are broadcast: so many at most.
+WORD_SHARE = 1_000_000
 BASE, MASS = 1.25, 3000.0
-SLICES, MAX_BITS, BITS_EACH, PROBES = 64, 1 << 28, 10, 4
-BEGIN = 1 << 20  # the class before the first token; vocabulary classes are smaller
-FLUSH = 1 << 19
+BITS_EACH, PROBES = 12, 5
+#: Slices at least, and training tokens for each slice beyond.
+SLICES, SLICE_KEYS = 64, 1 << 22
+#: Bytes of the filter that are broadcast at once.
+ROUND_BYTES = 128 << 20
+FLUSH, PAIRS_FLUSH = 1 << 19, 1 << 22
+#: Words that a task keeps numbered; when full it starts afresh.
+NUMBERED = 1 << 19
+
+#: The least counts of each level: 0, then the distinct whole numbers from powers of BASE on.
+STEPS = np.array(sorted({0, *(math.ceil(BASE**k - 1e-9) for k in range(190))}), np.float64)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -65,56 +76,97 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 class Vocabulary:
-    """Frequent words: their counts and classes (0: rare)."""
-
-    def __init__(self, words: list[tuple[bytes, int]], n: int, v: int):
-        self.n, self.v = n, v
-        self.whole = n + 0.5 * (v + 1)
-        ordered = sorted(words, key=lambda x: (-x[1], x[0]))
-        self.word = {w: i for i, (w, _) in enumerate(ordered)}
-        self.count = np.array([c for _, c in ordered], np.float64)
-        self.n_classes = 1 + sum(1 for _, c in ordered if c * NGRAM_SHARE >= n)
-        self.class_of = np.array([i + 1 if i + 1 < self.n_classes else 0 for i in range(len(ordered))] + [0], np.int64)  # the last for words that aren't frequent
-        self.log_p1 = np.log10((self.count + 0.5) / self.whole)
-        self.class_count = np.zeros(self.n_classes)
-        self.class_count[1:] = self.count[: self.n_classes - 1]
-        self.class_count[0] = n - self.class_count[1:].sum()
-        self.class_p1 = np.zeros(self.n_classes)
-        self.class_p1[1:] = (self.class_count[1:] + 0.5) / self.whole
-        self.class_p1[0] = max(1.0 - self.class_p1[1:].sum(), 0.5 / self.whole)
-
-    def numbers(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        found = tokens(text)
-        get, other = self.word.get, len(self.count)
-        return found, np.fromiter((get(w, other) for w in found), np.int64, len(found))
-
-
-def _pairs(classes: np.ndarray) -> np.ndarray:
-    before = np.concatenate(([BEGIN], classes[:-1]))
-    return before << 21 | classes
-
-
-def _count_pairs(sent):
+    """Numbers the words of a task: the frequent ones first, with their counts, then others as they come."""
+
+    def __init__(self, frequent: list[tuple[bytes, int]], n: int, v: int, n_slices: int):
+        self.n, self.whole, self.n_slices = n, n + 0.5 * (v + 1), n_slices
+        self.frequent = [w for w, _ in frequent]
+        self.n_frequent = len(frequent)
+        self.count = np.array([c for _, c in frequent], np.float64)
+        self.starts = float(dict(frequent).get(END, 0))  # texts learnt from
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = {w: i for i, w in enumerate(self.frequent)}
+        self.names = list(self.frequent)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.names], np.uint64)
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of the words of all texts."""
+        number, names = self.number, self.names
+        if len(names) > self.n_frequent + NUMBERED:
+            self.forget()
+            number, names = self.number, self.names
+        out: list[int] = []
+        for words in texts:
+            for w in words:
+                i = number.get(w)
+                if i is None:
+                    i = number[w] = len(names)
+                    names.append(w)
+                out.append(i)
+        new = [xxhash.xxh64_intdigest(w) for w in names[len(self.hashes) :]]
+        self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
+        return np.array(out, np.int64)
+
+    def places(self, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key of the pair, slice) of each token; firsts are the places where texts begin."""
+        own = self.hashes[ids]
+        before = np.empty(len(own), np.uint64)
+        before[1:] = own[:-1]
+        before[firsts] = 0
+        with np.errstate(over="ignore"):
+            pair = _mixed(_mixed(before) * np.uint64(3) + own)
+        return pair, self.slices(np.where(ids < self.n_frequent, pair, own))
+
+    def slices(self, by: np.ndarray) -> np.ndarray:
+        """A token's slice, by its pair if its word is frequent, else by its word alone."""
+        return ((_mixed(by) >> np.uint64(32)) * np.uint64(self.n_slices) >> np.uint64(32)).astype(np.int64)
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _firsts(texts: list[list[bytes]]) -> np.ndarray:
+    ends = np.cumsum([len(t) for t in texts])
+    return np.concatenate(([0], ends[:-1]))
+
+
+def _count_keys(sent):
+    """(slice, key, c): the counts of pairs, and of words that aren't frequent, of each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        held: list[np.ndarray] = []
+        vocabulary = Vocabulary(*sent.value)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            if held:
-                key, c = np.unique(np.concatenate(held), return_counts=True)
-                for i in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(c[i : i + 200_000].astype(np.int64))], names=["key", "c"])
+            key, at, c = np.unique(np.concatenate([k for _, k in held] or [np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
+            s = np.concatenate([x for x, _ in held] or [np.zeros(0, np.int64)])[at]
             held.clear()
+            for i in range(0, len(key), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(s[part].astype(np.int32)), pa.array(key[part].view(np.int64)), pa.array(c[part].astype(np.int64))], names=["slice", "key", "c"])
 
-        vocabulary = Vocabulary(*words)
         for batch in batches:
-            for text in batch.column("text"):
-                _, ids = vocabulary.numbers(text.as_py())
-                held.append(_pairs(vocabulary.class_of[ids]))
-                size += len(ids)
-                if size > FLUSH * 8:
+            for at, rows in portions(batch.column("text")):
+                texts = [tokens(t.as_py()) for t in batch.column("text").slice(at, rows)]
+                ids = vocabulary.numbers(texts)
+                pair, s = vocabulary.places(ids, _firsts(texts))
+                rest = vocabulary.hashes[ids[ids >= vocabulary.n_frequent]]
+                held += [(s, pair), (vocabulary.slices(rest), word_keys(rest))]
+                size += len(pair) + len(rest)
+                if size > PAIRS_FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -123,122 +175,149 @@ def _count_pairs(sent):
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
-
-
-#: LEAST[q]: the least count that has level q.
-LEAST = np.array([0] + [math.ceil(BASE ** (q - 1) - 1e-9) for q in range(1, 240)], np.float64)
-
-
-def _mixed(key: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = key.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    return np.searchsorted(STEPS, count, "right") - 1
 
 
 class Filter:
-    """A log-frequency Bloom filter in SLICES slices of `bits` (a power of two) each."""
-
-    def __init__(self, bits: int, slices: dict[int, bytes] | None = None):
-        self.bits = bits
-        self.data = np.zeros((SLICES, bits // 8), np.uint8)
-        for s, raw in (slices or {}).items():
-            self.data[s] = np.frombuffer(raw, np.uint8)
+    """A log-frequency Bloom filter of some slices, each with its own number of bits; other slices hold nothing."""
+
+    def __init__(self, n_slices: int, slices: dict[int, bytes]):
+        self.bits = np.zeros(n_slices, np.uint64)
+        self.first = np.zeros(n_slices, np.uint64)
+        at = 0
+        for s, raw in slices.items():
+            self.bits[s], self.first[s] = len(raw) * 8, at
+            at += len(raw) * 8
+        self.data = np.frombuffer(b"".join(slices.values()), np.uint8)
+        self.has = self.bits > 0
 
     @staticmethod
-    def slice_of(key: np.ndarray) -> np.ndarray:
-        return (_mixed(key) >> np.uint64(58)).astype(np.int64)
-
-    def _places(self, h: np.ndarray, q: int) -> np.ndarray:
+    def places(h: np.ndarray, q: int, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+        """The bit of a probe for keys with these mixed hashes at level q."""
+        low = np.uint64(0xFFFFFFFF)
         with np.errstate(over="ignore"):
             g = _mixed(h ^ np.uint64(q * 0x5851F42D4C957F2D & (2**64 - 1)))
-            step = (g >> np.uint64(32)) | np.uint64(1)
-            return (g[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(self.bits - 1)
-
-    def add(self, key: np.ndarray, q: np.ndarray) -> None:
+            x = ((g >> np.uint64(32)) + (g | np.uint64(1)) * np.uint64(probe)) & low
+            return x * bits >> np.uint64(32)
+
+    @classmethod
+    def build(cls, key: np.ndarray, c: np.ndarray) -> bytes:
+        """The bits of one slice."""
+        q = level(c)
+        size = -(-max(int(q.sum()) * BITS_EACH, LEAST_BITS) // 64) * 64
+        on = np.zeros(size, bool)
         h = _mixed(key)
-        s = self.slice_of(key)
         for j in range(1, int(q.max(initial=0)) + 1):
-            on = q >= j
-            p = self._places(h[on], j).astype(np.int64)
-            np.bitwise_or.at(self.data, (np.repeat(s[on], PROBES), p.ravel() >> 3), (1 << (p.ravel() & 7)).astype(np.uint8))
+            h, q = h[q >= j], q[q >= j]
+            for probe in range(PROBES):
+                on[cls.places(h, j, probe, np.uint64(size)).astype(np.int64)] = True
+        return np.packbits(on, bitorder="little").tobytes()
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """The counts read back, by probes."""
-        h, s = _mixed(key), self.slice_of(key)
+    def level(self, key: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The levels read back, by probes; all keys must be of slices that are held."""
         out = np.zeros(len(key), np.int64)
         on = np.arange(len(key))
-        for j in range(1, len(LEAST)):
-            p = self._places(h[on], j).astype(np.int64)
-            hit = ((self.data[s[on][:, None], p >> 3] >> (p & 7)) & 1).all(1)
-            on = on[hit]
+        h, bits, first = _mixed(key), self.bits[s], self.first[s]
+        for j in range(1, len(STEPS)):
+            for probe in range(PROBES):
+                p = first[on] + self.places(h[on], j, probe, bits[on])
+                on = on[self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 == 1]
             if not len(on):
                 break
             out[on] = j
-        return LEAST[out]
+        return out
 
 
-def _build(bits: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits)
-        seen: set[int] = set()
-        for batch in batches:
-            key, c = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "c"))
-            q = level(c)
-            key, q = key[q >= least], q[q >= least]
-            if len(key):
-                own.add(key, q)
-                seen.update(np.unique(own.slice_of(key)).tolist())
-        out = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array([own.data[s].tobytes() for s in out], pa.binary())], names=["slice", "raw"])
+#: Bits of a slice at least.
+LEAST_BITS = 1 << 12
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One slice for each task: (slice, raw)."""
+    held = [tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("slice", "key", "c")) for batch in batches]
+    if not held:
+        return
+    s, key, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    for own in np.unique(s).tolist():
+        at = s == own
+        k, where = np.unique(key[at].view(np.uint64), return_inverse=True)
+        raw = Filter.build(k, np.bincount(where, weights=c[at], minlength=len(k)))
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "raw"])
+
+
+_PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base_part double, score_part double, others array<string>, times array<long>"
 
-    return run
 
+def _score(sent_words, sent_filter, first_round: bool):
+    """The parts of each row's scores that the slices of a round give; what doesn't depend on slices is the first's.
+    others are words that aren't frequent and may have been seen (the filter has them), with their numbers."""
 
-def _score(sent_words, sent_filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(*sent_words.value)
-        pairs = Filter(*sent_filter.value)
-        contexts = np.append(words.class_count, 0.0)
-        n_words = len(words.count)
-        start = words.count[words.word[END]] if END in words.word else 0.0
-        in_rare = -math.log10(words.class_p1[0])
+        pairs = Filter(words.n_slices, sent_filter.value)
+        floor = math.log10(0.5 / words.whole)
+        start = math.log10(words.starts + MASS)
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 1000):
-                batch = whole_batch.slice(at, 1000)
-                texts = [words.numbers(t.as_py()) for t in batch.column("text")]
-                ids = np.concatenate([i for _, i in texts])
-                ends = np.cumsum([len(i) for _, i in texts])
-                firsts = np.concatenate(([0], ends[:-1]))
-                frequent, classes = ids < n_words, words.class_of[ids]
-                before = np.concatenate(([BEGIN], classes[:-1]))
-                before[firsts] = BEGIN
-                # Texts repeat the same pairs over and over: each pair is probed once a batch.
-                pair, where = np.unique(before << 21 | classes, return_inverse=True)
-                u, w = pair >> 21, pair & (1 << 21) - 1
-                context = np.where(u == BEGIN, start, contexts[np.minimum(u, words.n_classes)])
-                given = np.log10((pairs.count(pair) + MASS * words.class_p1[w]) / (context + MASS))[where]
-                # Within the rare class a word has its share by P1; the join adds log P1 of words that aren't frequent.
-                p1 = np.append(words.log_p1, 0.0)[ids]
-                rare = classes == 0
-                given[rare] += in_rare + p1[rare]
-                per_text = [np.add.reduceat(x, firsts) for x in (frequent.astype(np.int64), p1, given)]
-                others = [Counter(t for t, f in zip(found, frequent[a:b].tolist(), strict=True) if not f) for (found, _), a, b in zip(texts, firsts.tolist(), ends.tolist(), strict=True)]
-                names = pa.array([list(c) for c in others], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-                times = pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ends - firsts), *map(pa.array, per_text), names, times], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
+            for at, rows in portions(whole_batch.column("text")):
+                batch = whole_batch.slice(at, rows)
+                texts = [tokens(t.as_py()) for t in batch.column("text")]
+                ids, firsts = words.numbers(texts), _firsts(texts)
+                key, s = words.places(ids, firsts)
+                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                # Texts repeat the same pairs over and over: each pair is looked up once a batch.
+                key, which, where = np.unique(key, return_index=True, return_inverse=True)
+                w, s = ids[which], s[which]
+                held, frequent = pairs.has[s], w < words.n_frequent
+                most = np.zeros(len(key))  # the word's count, or a bound above it
+                most[frequent] = words.count[w[frequent]]
+                own = held & ~frequent
+                most[own] = STEPS[pairs.level(word_keys(words.hashes[w[own]]), s[own]) + 1] - 1
+                met = held & (most > 0)
+                count = np.zeros(len(key))
+                count[met] = np.minimum(STEPS[pairs.level(key[met], s[met])], most[met])
+                p1 = (most + 0.5) / words.whole
+                gain = np.log10(1 + count / (MASS * p1))
+                # Of words alone: here those of frequent ones, and of words that the filter says were never seen.
+                known = frequent & held
+                base = np.where(known, np.log10(p1), np.where(own & (most == 0), floor, 0.0))
+                after = np.where(known, np.log10(most + MASS), np.where(own & (most == 0), math.log10(MASS), 0.0))
+                after[w == words.number[END]] = 0.0  # nothing comes after the end
+                per_text = [np.add.reduceat(x[where], firsts) for x in (known.astype(np.int64), base, gain + base - after)]
+                seen = (own & (most > 0))[where]
+                pair, times = np.unique(row[seen] << 32 | ids[seen], return_counts=True)
+                names = pa.array([words.names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
+                ends = np.searchsorted(pair >> 32, np.arange(len(texts) + 1)).astype(np.int32)
+                others, many = (pa.ListArray.from_arrays(pa.array(ends), x) for x in (names, pa.array(times.astype(np.int64))))
+                n_tokens = np.array([len(t) for t in texts], np.int64)
+                if first_round:
+                    per_text[2] = per_text[2] + n_tokens * math.log10(MASS) - start
+                else:
+                    n_tokens[:] = 0
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n_tokens), *map(pa.array, per_text), others, many], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
 
     return run
 
 
-def score(df: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
+def rounds(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Slices (number, bytes) in groups of at most so many bytes, or of one."""
+    out: list[list[int]] = []
+    size = 0
+    for s, n in sizes:
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(s)
+        size += n
+    return out
+
+
+def score(df: DataFrame, train: Column | None = None, text: str = "text", round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, n_known, train_tokens (longs), base_score, score (log10).
 
     Learns from the rows where `train` holds (on doc_id; by default crc32 % 5 <> 1). A null or empty text is
-    the end alone; repeated rows are scored (and learnt) as often as they occur. With nothing to learn from
-    every token is unknown, and has probability 1.
+    the end alone; repeated rows are scored (and learnt) as often as they occur; other columns of df don't matter.
+    With nothing to learn from every token is unknown, and has probability 1. An empty df gives no rows.
     """
     spark = df.sparkSession
     train = fold(F.col("doc_id"), 5) != 1 if train is None else train
@@ -246,38 +325,40 @@ def score(df: DataFrame, train: Column | None = None, text: str = "text") -> Dat
     taught = docs.where(F.coalesce(train, F.lit(False))).select("text")
     counts = shared.written(taught.mapInArrow(_count_words, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()  # one row
-    frequent = [(r[0].encode(), r[1]) for r in counts.where(F.col("c") * WORD_SHARE >= n).collect()]  # WORD_SHARE rows at most
-    sent_words = spark.sparkContext.broadcast((frequent, n, v))
-
-    pairs = taught.mapInArrow(_count_pairs(sent_words), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    pairs = shared.written(pairs, "pairs")
-    q = (F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1).cast("int")
-    levels = {r[0]: r[1] for r in pairs.groupBy(q.alias("q")).count().collect()}  # under 240 rows
-    needed = lambda least: sum(k * m for k, m in levels.items() if k >= least) * BITS_EACH
-    least = next(x for x in range(1, 300) if needed(x) <= MAX_BITS)
-    bits = 1 << max(9, math.ceil(math.log2(max(needed(least), 1) / SLICES)))
-    bits = min(bits, MAX_BITS // SLICES)
-    # Rows of a slice come together; the slice is of our own hash, so it is computed before the shuffle.
-    sliced = pairs.mapInArrow(_with_slice, "slice int, key long, c long").repartition(SLICES, "slice").select("key", "c")
-    slices = {r[0]: bytes(r[1]) for r in sliced.mapInArrow(_build(bits, least), "slice int, raw binary").collect()}  # MAX_BITS at most
-    sent_filter = spark.sparkContext.broadcast((bits, slices))
+    often = (F.col("c") * WORD_SHARE >= n) | (F.col("token") == END.decode())
+    frequent = [(r[0].encode(), r[1]) for r in counts.where(often).collect()]  # WORD_SHARE rows at most, and the end
+    n_slices = max(SLICES, n // SLICE_KEYS)
+    sent_words = spark.sparkContext.broadcast((frequent, n, v, n_slices))
 
+    keys = taught.mapInArrow(_count_keys(sent_words), "slice int, key long, c long")
+    sliced = shared.written(keys.repartitionById(n_slices, F.col("slice")).mapInArrow(_build, "slice int, raw binary"), "filter")
+    sizes = [tuple(r) for r in sliced.select("slice", F.length("raw")).orderBy("slice").collect()]  # n_slices rows
+
+    passes = rounds(sizes, round_bytes) or [[]]
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    kinds = "row long, doc_id long, n_tokens long, n_frequent long, base_part double, score_part double, others array<string>, times array<long>"
-    scored = shared.written(numbered.mapInArrow(_score(sent_words, sent_filter), kinds), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("x")).select("row", F.col("x.others").alias("token"), F.col("x.times").alias("times"))
-    p1 = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    # None of these words has more than N / WORD_SHARE training tokens; unknown ones are dealt by row below.
-    met = rest.join(counts, "token", "left").groupBy("row").agg(F.sum(p1 * F.col("times")).alias("others"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.drop("others", "times").join(met, "row", "left")
-    more, known = F.coalesce("others", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return out.select("doc_id", "n_tokens", (F.col("n_frequent") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_part") + more).alias("base_score"), (F.col("score_part") + more).alias("score"))
-
-
-def _with_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        s = Filter.slice_of(batch.column("key").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), batch.column("key"), batch.column("c")], names=["slice", "key", "c"])
+    if len(passes) > 1:  # the numbers must be the same in each
+        numbered = shared.written(numbered, "numbered")
+    parts = []
+    for own in passes:
+        held = {r[0]: bytes(r[1]) for r in sliced.where(F.col("slice").isin(own)).collect()} if own else {}  # round_bytes at most, or one slice
+        if not parts:  # slices without a key
+            held |= dict.fromkeys(set(range(n_slices)).difference(x for x, _ in sizes), bytes(8))
+        sent_filter = spark.sparkContext.broadcast(held)
+        # Written before the next round's slices are sent, so that one round's are held at a time.
+        parts.append(shared.written(numbered.mapInArrow(_score(sent_words, sent_filter, not parts), _PARTS), "score-parts"))
+        sent_filter.destroy()
+    shared.drop(sliced, *([numbered] if len(passes) > 1 else []))
+    several = parts[0]
+    for x in parts[1:]:
+        several = several.unionByName(x)
+    rest = several.select("row", F.explode(F.arrays_zip("others", "times")).alias("x")).select("row", F.col("x.others").alias("token"), F.col("x.times").alias("times"))
+    c = F.coalesce("c", F.lit(0))
+    p1 = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
+    # None of these words has more than N / WORD_SHARE training tokens, and all but false positives have some.
+    met = rest.join(counts, "token", "left").select("row", (p1 * F.col("times")).alias("base_part"), ((p1 - F.log10(c + MASS)) * F.col("times")).alias("score_part"), F.when(c > 0, F.col("times")).otherwise(0).alias("known"))
+    sums = several.select("row", "doc_id", "n_tokens", "base_part", "score_part", F.col("n_frequent").alias("known")).unionByName(met, allowMissingColumns=True)
+    sums = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base_part").alias("base_score"), F.sum("score_part").alias("score"))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

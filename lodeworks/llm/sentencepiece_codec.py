@@ -20,20 +20,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .text import whole
+from .text import portions, whole
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Encoded runs of characters that a task remembers, and their bytes; when full it starts afresh.
 CACHE, CACHE_BYTES = 1 << 19, 32 << 20
-#: Runs up to so many bytes are segmented together; texts come in portions of so many bytes, or one by one.
-SHORT, PORTION = 64, 4 << 20
+#: Runs up to so many bytes are segmented together.
+SHORT = 64
 
 
 @dataclass
@@ -319,18 +318,6 @@ class Codec:
         return self.spell(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace")[1:]
 
 
-def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, rows) of portions of a column, each of some megabytes, or one text."""
-    start = held = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if i > start and held + (n or 0) > PORTION:
-            yield start, i - start
-            start, held = i, 0
-        held += n or 0
-    if len(texts) > start:
-        yield start, len(texts) - start
-
-
 def encode(df: DataFrame, text: str = "text", model_file: str = MODEL, ranks: bool = True) -> DataFrame:
     """df with ids (array<int>), log_score (double) and decoded (the text again, from the ids alone).
 
@@ -347,7 +334,7 @@ def encode(df: DataFrame, text: str = "text", model_file: str = MODEL, ranks: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Pieces(*sent.value[0]), sent.value[1])
         for whole_batch in batches:
-            for at, n in _portions(whole_batch.column(names.index(text))):
+            for at, n in portions(whole_batch.column(names.index(text))):
                 batch = whole_batch.slice(at, n)
                 ids, scores = codec.encode_many([v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column(names.index(text))])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +35,19 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Bytes of text that are worked on at once.
+PORTION = 4 << 20
+
+
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of portions of a column of texts, each of PORTION bytes at most, or one text."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and held + (n or 0) > PORTION:
+            yield start, i - start
+            start, held = i, 0
+        held += n or 0
+    if len(texts) > start:
+        yield start, len(texts) - start
