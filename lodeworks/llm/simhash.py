@@ -1,7 +1,7 @@
 """SimHash near-duplicates by deletion variants.
 
 A fingerprint is cut into s segments. If two differ in at most 2 * s - 1 bits, one segment differs in at most
-one, so each segment is indexed as it is and with each of its bits deleted in turn; fingerprints that are equal
+one, so each segment is indexed with each of its bits deleted in turn; fingerprints that are equal
 under one such key meet in a bucket, and are verified there. Fingerprints enter the index once, however many
 documents have them, and a bucket gives links that grow with its members, not with their pairs.
 
@@ -21,10 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import LongType
 
 from . import graph, shared
-from .text import free_name, whole
+from .text import whole
 
 SEED = 42
 #: Buckets up to this size compare all members; beyond, the work per member is bounded (see _bucket_links).
@@ -61,40 +61,24 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def remix(hashes: np.ndarray, stream: int) -> np.ndarray:
-    """Another 64 hash bits from each hash; stream 0 is the hash itself."""
-    if not stream:
-        return hashes
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * stream & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(df: DataFrame, text: str = "text", words: int = 3, streams: int = 1, smallest: int = 0) -> DataFrame:
-    """Adds fp (long; bit i of the fingerprint), more (array of the streams after the first), and low (the
-    `smallest` least distinct shingle hashes, cut to their upper 32 bits). All other columns but text stay."""
+def fingerprints(df: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
+    """Adds fp (long; bit i of the fingerprint). All other columns but text stay."""
     keep = [c for c in df.columns if c != text]
-    schema = df.select(*keep).schema.add("fp", LongType()).add("more", ArrayType(LongType())).add("low", ArrayType(IntegerType()))
+    schema = df.select(*keep).schema.add("fp", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more, low = [], [], []
-            for value in batch.column(text):
-                h = shingle_hashes(value.as_py(), words)
-                row = np.array([majority(remix(h, s)) for s in range(streams)], np.uint64).view(np.int64).tolist()
-                fps.append(row[0])
-                more.append(row[1:])
-                low.append((np.unique(h >> np.uint64(32))[:smallest]).astype(np.uint32).view(np.int32).tolist() if smallest else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))], names=[*keep, "fp", "more", "low"])
+            fps = np.array([majority(shingle_hashes(value.as_py(), words)) for value in batch.column(text)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
     return df.select(*keep, whole(text).alias(text)).mapInArrow(run, schema)
 
 
 def variants(segments: Column, bits: int) -> Column:
-    """An array of keys for an array of segments: each as it is, and with each of its bits deleted."""
-    one = lambda x, s, j: F.when(j == bits, x).otherwise(x.bitwiseAND(F.bitwise_not(F.expr("1L").cast("long") * F.pow(F.lit(2.0), j).cast("long"))))
-    key = lambda x, s: F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda j: ((s * 64 + j).cast("long") * F.lit(1 << bits)) + one(x, s, j))
+    """An array of keys for an array of segments: each with each of its bits deleted in turn. Equal segments share
+    all of these, those that differ in one bit share one."""
+    without = lambda x, j: x.bitwiseAND(F.bitwise_not(F.expr("1L").cast("long") * F.pow(F.lit(2.0), j).cast("long")))
+    key = lambda x, s: F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda j: ((s * 64 + j).cast("long") * F.lit(1 << bits)) + without(x, j))
     return F.flatten(F.transform(segments, key))
 
 
@@ -269,6 +253,16 @@ def _may(m: np.ndarray, pos: np.ndarray, i, j, similarity: float) -> np.ndarray:
     return reach >= similarity / (1 + similarity) * (m[i] + m[j]) - 1e-6
 
 
+def _able(m: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Members of a bucket for which _may holds with some other, or a bound on the others doesn't rule it out."""
+    most = (m - pos) * (1 + similarity) / similarity - m + 1e-3  # how large another may be
+    low, high = np.argmin(m), np.argmax(most)
+    lows, highs = np.delete(m, low), np.delete(most, high)
+    other_low, other_high = np.full(len(m), m[low], float), np.full(len(m), most[high])
+    other_low[low], other_high[high] = lows.min(), highs.max()
+    return (other_low <= most) & (other_high >= m)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
     """The buckets (rows of one key) of more than one member, from batches sorted by key."""
     held: list[list[np.ndarray]] = []
@@ -327,8 +321,9 @@ def _first_pairs(similarity: float, screen: int):
                     rest[near] = rest[lead] = False
                     found.append((np.full(len(near), lead), near))
                 i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                out.append([node, node, np.where(key == 0, 1, key), m, pos])
-                size += n
+                able = _able(m, pos, similarity)
+                out.append([x[able] for x in (node, node, np.where(key == 0, 1, key), m, pos)])
+                size += int(able.sum())
             if len(i):
                 none = np.zeros(len(i), np.int64)
                 out.append([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), none, none, none])
@@ -458,16 +453,3 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     shared.drop(sets, heads, rest)
     stays = grouped.groupBy("part").agg(F.min(better)["r"].alias("near_of"))
     return numbered.join(grouped.join(stays, "part").select("near_row", "near_of"), "near_row")
-
-
-def _similar(a: str, b: str, smallest: int) -> Column:
-    """Jaccard similarity of two sets from their least hashes: of the least of both, how many are in both."""
-    both = F.slice(F.sort_array(F.array_union(_unsigned(a), _unsigned(b))), 1, smallest)
-    common = F.array_intersect(_unsigned(a), _unsigned(b))
-    shared_ones = F.size(F.array_intersect(both, common))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared_ones / F.size(both))
-
-
-def _unsigned(column: str) -> Column:
-    """32 unsigned bits in an int, as the longs by which they were least."""
-    return F.transform(F.col(column), lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
