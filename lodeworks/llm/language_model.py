@@ -10,7 +10,7 @@ come back exactly.
 where P1 is the smoothed unigram probability. As a logarithm it is a part of single words, which exact counts give
 (those of frequent words are broadcast, the rest meet the table of words in a join), and the part of the pair,
 log(1 + count(u, w) / (MASS * P1(w))). For a w that isn't frequent the filter holds its own count as well, read from
-above there. So the probabilities after a word sum to 1 at most (but for false positives, about one in 200 absent
+above there. So the probabilities after a word sum to 1 at most (but for false positives, about one in 100 absent
 pairs, read as 1).
 
 The filter is cut into slices by hash, each built by one task from the counts that fall in it, as many as the
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,16 @@ from .toxicity import fold
 
 END = b"\n"  # no word has white space
 #: Words with at least N / WORD_SHARE of the N training tokens are broadcast: so many at most.
-WORD_SHARE = 1_000_000
-BASE, MASS = 1.25, 3000.0
-BITS_EACH, PROBES = 12, 5
+WORD_SHARE = 2_000_000
+BASE, MASS = 1.5, 3000.0
+BITS_EACH, PROBES = 10, 4
 #: Slices at least, and training tokens for each slice beyond.
 SLICES, SLICE_KEYS = 64, 1 << 22
 #: Bytes of the filter that are broadcast at once.
 ROUND_BYTES = 128 << 20
-FLUSH, PAIRS_FLUSH = 1 << 19, 1 << 22
+FLUSH, PAIRS_FLUSH = 1 << 19, 1 << 23
+#: Bytes of the filter that come to the driver at a time.
+FETCH = 16 << 20
 #: Words that a task keeps numbered; when full it starts afresh.
 NUMBERED = 1 << 19
 
@@ -52,10 +55,14 @@ NUMBERED = 1 << 19
 STEPS = np.array(sorted({0, *(math.ceil(BASE**k - 1e-9) for k in range(190))}), np.float64)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased, in UTF-8, then the end. Bytes know only the six white spaces of ASCII, and
+def tokens(text: bytes) -> list[bytes]:
+    """Words with A-Z lower-cased, from UTF-8, then the end. Bytes know only the six white spaces of ASCII, and
     lower only A-Z."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+    return [*text.lower().split(), END]
+
+
+def _tokens(texts: pa.Array) -> list[list[bytes]]:
+    return [tokens(t.as_buffer().to_pybytes()) for t in texts]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +77,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column("text"):
-            counts.update(tokens(text.as_py()))
+            counts.update(tokens(text.as_buffer().to_pybytes()))
             if len(counts) > FLUSH:
                 yield from flush()
     yield from flush()
@@ -96,45 +103,70 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.number = {w: i for i, w in enumerate(self.frequent)}
-        self.names = list(self.frequent)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.names], np.uint64)
+        self.number = Numbers(self.frequent)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.frequent], np.uint64)
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of the words of all texts."""
-        number, names = self.number, self.names
-        if len(names) > self.n_frequent + NUMBERED:
+        if len(self.number) > self.n_frequent + NUMBERED:
             self.forget()
-            number, names = self.number, self.names
-        out: list[int] = []
-        for words in texts:
-            for w in words:
-                i = number.get(w)
-                if i is None:
-                    i = number[w] = len(names)
-                    names.append(w)
-                out.append(i)
-        new = [xxhash.xxh64_intdigest(w) for w in names[len(self.hashes) :]]
+        get = self.number.__getitem__
+        out = np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        new = [xxhash.xxh64_intdigest(w) for w in self.number.names[len(self.hashes) :]]
         self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
-        return np.array(out, np.int64)
+        return out
 
-    def places(self, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key of the pair, slice) of each token; firsts are the places where texts begin."""
+    def pairs(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The keys of tokens with what stands before them; firsts are the places where texts begin."""
         own = self.hashes[ids]
         before = np.empty(len(own), np.uint64)
         before[1:] = own[:-1]
         before[firsts] = 0
         with np.errstate(over="ignore"):
             pair = _mixed(_mixed(before) * np.uint64(3) + own)
-        return pair, self.slices(np.where(ids < self.n_frequent, pair, own))
+        # The upper bits say the slice: by the pair if its word is frequent, else by the word.
+        return np.where(ids < self.n_frequent, pair, _mixed(own) & UPPER | pair & ~UPPER)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they first come, after those that are given."""
+
+    def __init__(self, given: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(given))
+        self.names = list(given)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self.names)
+        self.names.append(word)
+        return i
+
+
+#: The bits of a key that say its slice.
+SLICE_BITS = 24
+UPPER = np.uint64((1 << SLICE_BITS) - 1 << 64 - SLICE_BITS)
 
-    def slices(self, by: np.ndarray) -> np.ndarray:
-        """A token's slice, by its pair if its word is frequent, else by its word alone."""
-        return ((_mixed(by) >> np.uint64(32)) * np.uint64(self.n_slices) >> np.uint64(32)).astype(np.int64)
+
+def slices(key: np.ndarray, n_slices: int) -> np.ndarray:
+    return ((key >> np.uint64(64 - SLICE_BITS)) * np.uint64(n_slices) >> np.uint64(SLICE_BITS)).astype(np.int64)
+
+
+def slice_column(key: str, n_slices: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 64 - SLICE_BITS) * F.lit(n_slices).cast("long"), SLICE_BITS).cast("int")
 
 
 def word_keys(hashes: np.ndarray) -> np.ndarray:
-    return _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    """The keys of words alone, in the slices of their pairs."""
+    return _mixed(hashes) & UPPER | _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) & ~UPPER
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and the number of each place's key among them."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate((np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1]))
+    where = np.empty(len(key), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], where
 
 
 def _firsts(texts: list[list[bytes]]) -> np.ndarray:
@@ -143,29 +175,26 @@ def _firsts(texts: list[list[bytes]]) -> np.ndarray:
 
 
 def _count_keys(sent):
-    """(slice, key, c): the counts of pairs, and of words that aren't frequent, of each task."""
+    """(key, c): the counts of pairs, and of words that aren't frequent, of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*sent.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            key, at, c = np.unique(np.concatenate([k for _, k in held] or [np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
-            s = np.concatenate([x for x, _ in held] or [np.zeros(0, np.int64)])[at]
+            key = np.concatenate(held or [np.zeros(0, np.uint64)])
             held.clear()
+            key, c = np.unique(key, return_counts=True)
             for i in range(0, len(key), 200_000):
-                part = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(s[part].astype(np.int32)), pa.array(key[part].view(np.int64)), pa.array(c[part].astype(np.int64))], names=["slice", "key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000].view(np.int64)), pa.array(c[i : i + 200_000].astype(np.int32))], names=["key", "c"])
 
         for batch in batches:
             for at, rows in portions(batch.column("text")):
-                texts = [tokens(t.as_py()) for t in batch.column("text").slice(at, rows)]
+                texts = _tokens(batch.column("text").slice(at, rows))
                 ids = vocabulary.numbers(texts)
-                pair, s = vocabulary.places(ids, _firsts(texts))
-                rest = vocabulary.hashes[ids[ids >= vocabulary.n_frequent]]
-                held += [(s, pair), (vocabulary.slices(rest), word_keys(rest))]
-                size += len(pair) + len(rest)
+                held += [vocabulary.pairs(ids, _firsts(texts)), word_keys(vocabulary.hashes[ids[ids >= vocabulary.n_frequent]])]
+                size += len(held[-1]) + len(held[-2])
                 if size > PAIRS_FLUSH:
                     yield from flush()
                     size = 0
@@ -232,18 +261,23 @@ class Filter:
 LEAST_BITS = 1 << 12
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One slice for each task: (slice, raw)."""
-    held = [tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("slice", "key", "c")) for batch in batches]
-    if not held:
-        return
-    s, key, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    for own in np.unique(s).tolist():
-        at = s == own
-        k, where = np.unique(key[at].view(np.uint64), return_inverse=True)
-        raw = Filter.build(k, np.bincount(where, weights=c[at], minlength=len(k)))
-        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "raw"])
+def _build(n_slices: int):
+    """Each task's slices (one, unless there are fewer tasks than slices): (slice, raw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("c").to_numpy(zero_copy_only=False)) for batch in batches]
+        if not held:
+            return
+        key, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        key, _, where = _distinct(key)
+        c = np.bincount(where, weights=c, minlength=len(key))
+        starts = np.searchsorted(slices(key, n_slices), np.arange(n_slices + 1))  # keys are in the order of slices
+        for s in np.flatnonzero(np.diff(starts)).tolist():
+            raw = Filter.build(key[starts[s] : starts[s + 1]], c[starts[s] : starts[s + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "raw"])
+
+    return run
 
 
 _PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base_part double, score_part double, others array<string>, times array<long>"
@@ -261,13 +295,13 @@ def _score(sent_words, sent_filter, first_round: bool):
         for whole_batch in batches:
             for at, rows in portions(whole_batch.column("text")):
                 batch = whole_batch.slice(at, rows)
-                texts = [tokens(t.as_py()) for t in batch.column("text")]
+                texts = _tokens(batch.column("text"))
                 ids, firsts = words.numbers(texts), _firsts(texts)
-                key, s = words.places(ids, firsts)
+                key = words.pairs(ids, firsts)
                 row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
                 # Texts repeat the same pairs over and over: each pair is looked up once a batch.
-                key, which, where = np.unique(key, return_index=True, return_inverse=True)
-                w, s = ids[which], s[which]
+                key, which, where = _distinct(key)
+                w, s = ids[which], slices(key, words.n_slices)
                 held, frequent = pairs.has[s], w < words.n_frequent
                 most = np.zeros(len(key))  # the word's count, or a bound above it
                 most[frequent] = words.count[w[frequent]]
@@ -286,7 +320,7 @@ def _score(sent_words, sent_filter, first_round: bool):
                 per_text = [np.add.reduceat(x[where], firsts) for x in (known.astype(np.int64), base, gain + base - after)]
                 seen = (own & (most > 0))[where]
                 pair, times = np.unique(row[seen] << 32 | ids[seen], return_counts=True)
-                names = pa.array([words.names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
+                names = pa.array([words.number.names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
                 ends = np.searchsorted(pair >> 32, np.arange(len(texts) + 1)).astype(np.int32)
                 others, many = (pa.ListArray.from_arrays(pa.array(ends), x) for x in (names, pa.array(times.astype(np.int64))))
                 n_tokens = np.array([len(t) for t in texts], np.int64)
@@ -330,8 +364,8 @@ def score(df: DataFrame, train: Column | None = None, text: str = "text", round_
     n_slices = max(SLICES, n // SLICE_KEYS)
     sent_words = spark.sparkContext.broadcast((frequent, n, v, n_slices))
 
-    keys = taught.mapInArrow(_count_keys(sent_words), "slice int, key long, c long")
-    sliced = shared.written(keys.repartitionById(n_slices, F.col("slice")).mapInArrow(_build, "slice int, raw binary"), "filter")
+    keys = taught.mapInArrow(_count_keys(sent_words), "key long, c int")
+    sliced = shared.written(keys.repartitionById(n_slices, slice_column("key", n_slices)).mapInArrow(_build(n_slices), "slice int, raw binary"), "filter")
     sizes = [tuple(r) for r in sliced.select("slice", F.length("raw")).orderBy("slice").collect()]  # n_slices rows
 
     passes = rounds(sizes, round_bytes) or [[]]
@@ -340,10 +374,13 @@ def score(df: DataFrame, train: Column | None = None, text: str = "text", round_
         numbered = shared.written(numbered, "numbered")
     parts = []
     for own in passes:
-        held = {r[0]: bytes(r[1]) for r in sliced.where(F.col("slice").isin(own)).collect()} if own else {}  # round_bytes at most, or one slice
+        held = {}  # round_bytes at most, or one slice; fetched in portions
+        for some in rounds([x for x in sizes if x[0] in set(own)], FETCH):
+            held |= {r[0]: bytes(r[1]) for r in sliced.where(F.col("slice").isin(some)).collect()}
         if not parts:  # slices without a key
             held |= dict.fromkeys(set(range(n_slices)).difference(x for x, _ in sizes), bytes(8))
         sent_filter = spark.sparkContext.broadcast(held)
+        del held
         # Written before the next round's slices are sent, so that one round's are held at a time.
         parts.append(shared.written(numbered.mapInArrow(_score(sent_words, sent_filter, not parts), _PARTS), "score-parts"))
         sent_filter.destroy()
