@@ -86,10 +86,16 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+    """The page as a tree. Marked sections that the parser refuses are read as text."""
+    for text in (html or "", (html or "").replace("<![", "&lt;![")):
+        b = _Builder()
+        try:
+            b.feed(text)
+            b.close()
+        except AssertionError:
+            continue
+        return b.root
+    return Node("", {}, None)
 
 
 def text_of(card: Node, *classes: str) -> str:
@@ -101,18 +107,17 @@ def text_of(card: Node, *classes: str) -> str:
 
 
 def mined_price(link: Node, levels: int = 4) -> str:
-    """The text of the nearest ancestor that holds exactly one euro sign; never one that holds several."""
-    n: Node | None = link
-    for _ in range(levels + 1):
-        if n is None or not n.tag:
-            return ""
-        t = n.text()
-        if t.count("€") == 1:
-            return t
-        if t.count("€") > 1:
-            return ""
-        n = n.parent
-    return ""
+    """The text of the nearest ancestor that holds exactly one euro sign; without one, the widest text reached before
+    an ancestor that holds several."""
+    n, text = link, link.text()
+    for _ in range(levels):
+        if text.count("€") == 1 or n.parent is None:
+            break
+        wider = n.parent.text()
+        if wider.count("€") > 1:
+            break
+        n, text = n.parent, wider
+    return text
 
 
 #: Portals in the order of the crawl, with their sites.
@@ -154,72 +159,99 @@ BAZOS_ID, DETAIL_ID, REALITY_ID = r"/inzerat/(\d+)", r"/detail/[^\s\"']*?(\d{5,}
 TOPREALITY_ID, BYTY_ID = r"[-/](\d{4,})(?:\.html)?/?$", r"/(\d{5,})(?:[/?-]|\.html|$)"
 
 
+def each(nodes: Iterator[Node], cut: Callable[[Node], dict | None]) -> Iterator[dict]:
+    """What is cut from the nodes that are cards. One that can't be cut gives its error, and the others go on."""
+    for node in nodes:
+        try:
+            card = cut(node)
+        except Exception as e:  # noqa: BLE001  whatever a site's markup leads to
+            card = {"error": f"{type(e).__name__}: {e}"}
+        if card is not None:
+            yield card
+
+
 def bazos_cards(root: Node) -> Iterator[dict]:
-    for card in root.all("div", "inzeraty"):
-        if link := _heading_link(card):
-            c = _card(PORTALS["bazos"], link, price_text=text_of(card, "inzeratycena"), locality_text=text_of(card, "inzeratylok"), description=text_of(card, "popis"))
-            yield c | {"raw_id": _id_in(BAZOS_ID, c["url"]), "info_text": f"{c['title']} {c['description']}", "full_text": card.text()}
+    def cut(card: Node) -> dict | None:
+        if not (link := _heading_link(card)):
+            return None
+        c = _card(PORTALS["bazos"], link, price_text=text_of(card, "inzeratycena"), locality_text=text_of(card, "inzeratylok"), description=text_of(card, "popis"))
+        return c | {"raw_id": _id_in(BAZOS_ID, c["url"]), "info_text": f"{c['title']} {c['description']}", "full_text": card.text()}
+
+    return each(root.all("div", "inzeraty"), cut)
 
 
 def nehnutelnosti_cards(root: Node) -> Iterator[dict]:
-    found = False
-    for card in root.all("div", "advertisement-item"):
-        found = True
-        if link := _any_link(card):
-            part = lambda x: text_of(card, f"advertisement-item--content__{x}")  # noqa: B023,E731
-            info = part("info")
-            yield _card(PORTALS["nehnutelnosti"], link, raw_id=card.attrs.get("data-id"), price_text=part("price"), info_text=info, locality_text=part("locality"), description=part("description") or info, full_text=card.text())
-    if not found:
-        yield from detail_links(root)
+    def cut(card: Node) -> dict | None:
+        if not (link := _any_link(card)):
+            return None
+        part = lambda x: text_of(card, f"advertisement-item--content__{x}")
+        info = part("info")
+        return _card(PORTALS["nehnutelnosti"], link, raw_id=card.attrs.get("data-id"), price_text=part("price"), info_text=info, locality_text=part("locality"), description=part("description") or info, full_text=card.text())
+
+    known = list(root.all("div", "advertisement-item"))
+    return each(iter(known), cut) if known else detail_links(root)
 
 
 def detail_links(root: Node) -> Iterator[dict]:
     """Anchors to detail pages, for pages whose cards aren't recognised; the first of each url counts."""
     seen = set()
-    for a in root.all("a"):
+
+    def cut(a: Node) -> dict | None:
         number = _id_in(DETAIL_ID, a.attrs.get("href") or "")
-        if not number:
-            continue
         c = _card(PORTALS["nehnutelnosti"], a)
         url = c["url"].split("?")[0]
-        if url not in seen:
-            seen.add(url)
-            mined = mined_price(a)
-            if not (a.text() or mined):
-                continue
-            yield c | {"url": url, "raw_id": number, "title": a.text() or mined[:100], "price_text": mined if "€" in mined else "", "info_text": mined, "description": mined, "full_text": mined}
+        if not number or url in seen:
+            return None
+        seen.add(url)
+        mined = mined_price(a)
+        if not (c["title"] or mined):
+            return None
+        return c | {"url": url, "raw_id": number, "title": c["title"] or mined[:100], "price_text": mined if "€" in mined else "", "info_text": mined, "description": mined, "full_text": mined}
+
+    return each(root.all("a"), cut)
 
 
 def reality_cards(root: Node) -> Iterator[dict]:
-    for card in root.walk():
-        if card.tag in ("article", "div") and "offer" in card.classes() and (link := _heading_link(card) or next((x for x in card.all("a", "offer__title") if x.attrs.get("href")), None) or _any_link(card)):
-            params = text_of(card, "offer__params")
-            c = _card(PORTALS["reality"], link, price_text=text_of(card, "offer__price"), info_text=params, locality_text=text_of(card, "offer__address"), description=text_of(card, "offer__description") or params, full_text=card.text())
-            yield c | {"raw_id": card.attrs.get("data-id") or _id_in(REALITY_ID, c["url"])}
+    def cut(card: Node) -> dict | None:
+        link = _heading_link(card) or next((x for x in card.all("a", "offer__title") if x.attrs.get("href")), None) or _any_link(card)
+        if not link:
+            return None
+        params = text_of(card, "offer__params")
+        c = _card(PORTALS["reality"], link, price_text=text_of(card, "offer__price"), info_text=params, locality_text=text_of(card, "offer__address"), description=text_of(card, "offer__description") or params, full_text=card.text())
+        return c | {"raw_id": card.attrs.get("data-id") or _id_in(REALITY_ID, c["url"])}
+
+    return each((n for n in root.walk() if n.tag in ("article", "div") and "offer" in n.classes()), cut)
 
 
 def topreality_cards(root: Node) -> Iterator[dict]:
-    for card in root.all("div", "estate"):
-        if link := _any_link(card):
-            either = lambda x: text_of(card, x) or text_of(card, f"estate__{x}")  # noqa: B023,E731
-            params = either("params")
-            c = _card(PORTALS["topreality"], link, price_text=text_of(card, "price"), info_text=params, locality_text=either("locality"), description=text_of(card, "description") or params, full_text=card.text())
-            yield c | {"raw_id": _id_in(TOPREALITY_ID, c["url"])}
+    def cut(card: Node) -> dict | None:
+        if not (link := _any_link(card)):
+            return None
+        either = lambda x: text_of(card, x) or text_of(card, f"estate__{x}")
+        params = either("params")
+        c = _card(PORTALS["topreality"], link, price_text=text_of(card, "price"), info_text=params, locality_text=either("locality"), description=text_of(card, "description") or params, full_text=card.text())
+        return c | {"raw_id": _id_in(TOPREALITY_ID, c["url"])}
+
+    return each(root.all("div", "estate"), cut)
 
 
 def byty_cards(root: Node) -> Iterator[dict]:
     site, seen = PORTALS["byty"], set()
-    for a in root.all("a"):
+
+    def cut(a: Node) -> dict | None:
         href = a.attrs.get("href") or ""
         if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
-            continue
+            return None
         url = (site + href if href.startswith("/") else href).split("?")[0].rstrip("/")
         number = _id_in(BYTY_ID, href) if url.startswith(site) else None
         title = a.text()
-        if number and len(title) >= 5 and url not in seen:
-            seen.add(url)
-            mined = mined_price(a)
-            yield _card(site, a) | {"url": url, "raw_id": number, "price_text": mined if "€" in mined else "", "info_text": mined or title, "description": mined, "full_text": mined or title}
+        if not number or len(title) < 5 or url in seen:
+            return None
+        seen.add(url)
+        mined = mined_price(a)
+        return _card(site, a) | {"url": url, "raw_id": number, "price_text": mined if "€" in mined else "", "info_text": mined or title, "description": mined, "full_text": mined or title}
+
+    return each(root.all("a"), cut)
 
 
 EXTRACTORS: dict[str, Callable[[Node], Iterator[dict]]] = {"nehnutelnosti": nehnutelnosti_cards, "topreality": topreality_cards, "reality": reality_cards, "bazos": bazos_cards, "byty": byty_cards}
@@ -227,9 +259,11 @@ EXTRACTORS: dict[str, Callable[[Node], Iterator[dict]]] = {"nehnutelnosti": nehn
 _NAMES = [f.split()[0] for f in CARD.split(", ")]
 
 
-def cards(pages: DataFrame) -> DataFrame:
-    """(portal, page_no, card_pos, the columns of CARD) for each card of captured pages (portal, page_no, html).
-    Unknown portals, junk and null pages give none; a card that can't be cut is left out."""
+def cut_cards(pages: DataFrame) -> DataFrame:
+    """(portal, page_no, card_pos, the columns of CARD, error) for each card of captured pages (portal, page_no,
+    html). Unknown portals, junk and null pages give none; a card that can't be cut has nothing but its error."""
+
+    names = [*_NAMES, "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,12 +271,22 @@ def cards(pages: DataFrame) -> DataFrame:
             for portal, page, html in zip(*(batch.column(n).to_pylist() for n in ("portal", "page_no", "html")), strict=True):
                 of_portal = EXTRACTORS.get(portal)
                 if of_portal and html:
-                    rows += [(portal, page, i, *(c[n] for n in _NAMES)) for i, c in enumerate(of_portal(parse(html)))]
-            cols = list(zip(*rows, strict=True)) or [[]] * (3 + len(_NAMES))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * len(_NAMES)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["portal", "page_no", "card_pos", *_NAMES])
+                    rows += [(portal, page, i, *(c.get(n) for n in names)) for i, c in enumerate(of_portal(parse(html)))]
+            cols = list(zip(*rows, strict=True)) or [[]] * (3 + len(names))
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["portal", "page_no", "card_pos", *names])
+
+    return pages.select("portal", F.col("page_no").cast("int").alias("page_no"), "html").mapInArrow(run, f"portal string, page_no int, card_pos int, {CARD}, error string")
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """The cards of `cut_cards` that could be cut."""
+    return cut_cards(pages).where("error IS NULL").drop("error")
+
 
-    return pages.select("portal", F.col("page_no").cast("int").alias("page_no"), "html").mapInArrow(run, f"portal string, page_no int, card_pos int, {CARD}")
+def broken_cards(pages: DataFrame) -> DataFrame:
+    """(portal, n): how many cards couldn't be cut."""
+    return cut_cards(pages).where("error IS NOT NULL").groupBy("portal").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Portals whose facts may stand anywhere on the card, and those that name no place of their own.
@@ -273,35 +317,52 @@ def listings(cut: DataFrame) -> DataFrame:
     )
 
 
+def record() -> Column:
+    """A listing as an ordered record, with its price per square metre."""
+    c = F.col
+    names = ["id", "portal", "url", "title", "price_eur", "area_m2", "price_per_m2", "rooms", "street", "district", "floor", "condition", "balcony", "description_snippet", "first_seen", "raw_extra"]
+    made = {"price_per_m2": T.price_per_m2(c("price_eur"), c("area_m2")), "raw_extra": c("raw")}
+    return F.struct(*[made.get(n, c(n)).alias(n) for n in names])
+
+
+def record_json() -> Column:
+    """record() as JSON text, unknown values as null."""
+    return F.to_json(record(), {"ignoreNullFields": "false"})
+
+
 def is_usable() -> Column:
     return F.coalesce(F.col("price_eur").cast("string"), F.col("area_m2").cast("string"), F.col("rooms")).isNotNull()
 
 
 def project_cards(root: Node) -> Iterator[dict]:
     seen = set()
-    for card in root.all("div", "project-list-result"):
+
+    def cut(card: Node) -> dict | None:
         h = card.first("h3")
         link = next((a for n in (h, card) if n is not None for a in n.all("a") if a.attrs.get("href")), None)
         if link is None:
-            continue
+            return None
         url = urljoin(PROJECT_SITE, link.attrs["href"])
         slug = url.split("?")[0].rstrip("/").rsplit("/", 1)[-1]
         if not slug or slug in seen:
-            continue
+            return None
         seen.add(slug)
         image = card.first("img")
         m = re.search(r"/upload/Projekty/([^/]+)/", image.attrs.get("src") or "", re.I) if image else None
         status = next((x for x in card.classes() if x != "project-list-result"), "unknown")
-        yield {"slug": slug, "name": link.text() or (h.text() if h else "") or slug, "url": url, "status": status, "district": (unquote(m[1]) or None) if m else None}
+        return {"slug": slug, "name": link.text() or (h.text() if h else "") or slug, "url": url, "status": status, "district": (unquote(m[1]) or None) if m else None}
+
+    return each(root.all("div", "project-list-result"), cut)
 
 
 def projects(pages: DataFrame) -> DataFrame:
-    """(slug, name, url, status, district) of captured project lists (html); the first card of a slug on a page."""
+    """(slug, name, url, status, district) of captured project lists (html); the first card of a slug on a page. Cards
+    that can't be cut are left out."""
     names = ["slug", "name", "url", "status", "district"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [tuple(c[n] for n in names) for html in batch.column("html").to_pylist() if html for c in project_cards(parse(html))]
+            rows = [tuple(c[n] for n in names) for html in batch.column("html").to_pylist() if html for c in project_cards(parse(html)) if "error" not in c]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
 

@@ -136,20 +136,21 @@ def _section(rules: Mapping, name: str, required: bool) -> Mapping:
 
 
 def with_text(listings: DataFrame) -> DataFrame:
-    """Adds the three normalised texts that rules look at: norm_snip (title and snippet), norm_loc (with street,
-    district and raw values) and norm_district. Each is computed once: an expression that isn't deterministic is
-    neither copied into the many conditions that read it nor pushed down with them."""
+    """Adds the normalised texts that rules look at: norm_snip (title and snippet), norm_street, norm_district, and
+    norm_loc (all of these and the raw values, from their normal forms). Each is computed once: an expression that
+    isn't deterministic is neither copied into the many conditions that read it nor pushed down with them."""
     c = F.col
-    empty = lambda name: F.coalesce(c(name), F.lit(""))
-    raw = F.map_values("raw") if "raw" in listings.columns else F.array().cast("array<string>")
     once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
-    return listings.withColumns(
+    some = lambda x: F.nullif(x, F.lit(""))
+    out = listings.withColumns(
         {
-            "norm_snip": once(T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet")))),
-            "norm_loc": once(T.normalise(F.concat_ws(" ", empty("title"), empty("description_snippet"), empty("street"), empty("district"), F.array_join(raw, " ")))),
+            "norm_snip": once(T.normalise(F.concat_ws(" ", c("title"), c("description_snippet")))),
+            "norm_street": once(T.normalise(c("street"))),
             "norm_district": once(T.normalise(c("district"))),
         }
     )
+    raw = [some(T.normalise(F.array_join(F.map_values("raw"), " ")))] if "raw" in listings.columns else []
+    return out.withColumn("norm_loc", once(F.concat_ws(" ", *[some(c(x)) for x in ("norm_snip", "norm_street", "norm_district")], *raw)))
 
 
 def in_city(city: str, districts: list[str]) -> Column:
@@ -157,7 +158,10 @@ def in_city(city: str, districts: list[str]) -> Column:
     names = [city, *districts]
     if T.plain(city) == "bratislava":
         names += [b for b in T.BOROUGHS if b != T.AMBIGUOUS_BOROUGH]
-    return F.col("norm_loc").rlike("|".join(rf"\Q{T.plain(n)}\E" for n in names if T.plain(n)))
+    return T.any_part([T.plain(n) for n in names if T.plain(n)], F.col("norm_loc"))
+
+
+# Fixed values from here to hard_filter: the sentences that say why a listing was dropped.
 
 
 def _quoted(x: Column) -> Column:
@@ -211,7 +215,7 @@ def violations(rules: Mapping) -> list[tuple[str, Column, Column]]:
     if f.get("allowed_conditions"):
         add("condition", (c("condition") != "unknown") & ~c("condition").isin(*f["allowed_conditions"]), "condition ", _quoted(c("condition")), " not in allowed_conditions")
     for code, key, match in (
-        ("banned_street", "banned_streets", lambda b: T.has_word(b, T.normalise(c("street")))),
+        ("banned_street", "banned_streets", lambda b: T.has_word(b, c("norm_street"))),
         ("banned_district", "banned_districts", lambda b: T.has_word(b, c("norm_loc"))),
         ("banned_keyword", "banned_keywords", lambda b: T.has_part(b, c("norm_snip"))),
     ):
@@ -234,20 +238,6 @@ def drop_label(code: Column) -> Column:
     return F.when(code.isNotNull(), F.coalesce(labels[code], F.lit("other")))
 
 
-#: What a reason must contain to belong to a label, for reasons kept as text; the first counts.
-REASON_NEEDLES = (
-    ("house or land", "house"), ("non-residential space", "commercial"), ("not confirmed to be in search.city", "city_unconfirmed"), ("does not mention search.city", "locality_mismatch"),
-    ("banned district", "banned_district"), ("district", "district_not_searched"), ("below min_area_m2", "area_small"), ("above max_area_m2", "area_large"), ("below min_price_eur", "price_low"),
-    ("above max_price_eur", "price_high"), ("above max_price_per_m2", "ppm2_high"), ("below min_rooms", "rooms_few"), ("above max_floor", "floor_high"), ("ground floor excluded", "ground_floor"),
-    ("balcony required", "no_balcony"), ("not in allowed_conditions", "condition"), ("banned street", "banned_street"), ("banned keyword", "banned_keyword"),
-)
-
-
-def label_of_reason(reason: Column) -> Column:
-    """The summary label of a reason's text."""
-    return F.coalesce(*[F.when(F.contains(reason, F.lit(n)), F.lit(DROP_LABELS[c])) for n, c in REASON_NEEDLES], F.when(reason.isNotNull(), F.lit("other")))
-
-
 def drop_histogram(filtered: DataFrame) -> DataFrame:
     """(label, n) of dropped listings."""
     return filtered.where("drop_code IS NOT NULL").groupBy(drop_label(F.col("drop_code")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -305,15 +295,20 @@ def tier(score: Column, rules: Mapping) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def tier_join(scores: DataFrame, tiers: DataFrame) -> DataFrame:
-    """The same as a join, for tiers in a table (min, label): each score's greatest minimum.
+#: More tiers than anyone would name; they are read to the driver and become conditions.
+MOST_TIERS = 500
 
-    The tiers become half-open ranges, in order; the table of a rule set has a handful of rows.
-    """
-    from pyspark.sql import Window
 
-    ranges = tiers.withColumn("below", F.lead("min").over(Window.orderBy("min")))
-    return scores.join(F.broadcast(ranges), (F.col("score") >= F.col("min")) & (F.col("below").isNull() | (F.col("score") < F.col("below"))), "left").drop("min", "below")
+def tier_join(scores: DataFrame, tiers: DataFrame) -> DataFrame:
+    """The same for tiers in a table (min, label), MOST_TIERS at most: adds the label of each score's greatest minimum.
+    Of equal minima the first row counts, as in `tier`."""
+    rows = tiers.select("min", "label").limit(MOST_TIERS + 1).collect()
+    if len(rows) > MOST_TIERS:
+        raise ValueError(f"a rule set has {MOST_TIERS} tiers at most")
+    label = F.lit(None).cast("string")
+    for row in sorted((r for r in reversed(rows) if r["min"] is not None), key=lambda r: r["min"]):
+        label = F.when(F.col("score") >= row["min"], F.lit(row["label"])).otherwise(label)
+    return scores.withColumn("label", label)
 
 
 def min_score(rules: Mapping) -> int:

@@ -40,6 +40,12 @@ def crawl(pages: DataFrame) -> DataFrame:
     return kept.withColumn("seq", position.cast("bigint") * 10**12 + F.col("page_no").cast("bigint") * 10**6 + F.col("card_pos"))
 
 
+def unseen(pages: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
+    """The listings of captured pages that a run would report or drop: those that are new or have a new price."""
+    found = crawl(pages).withColumn("fingerprint", T.fingerprint(F.col("portal"), F.col("title"), F.col("area_m2"), F.col("rooms")))
+    return S.classify(found, state["listings"], state["content"]).where("status <> 'seen'")
+
+
 def run(pages: DataFrame, project_pages: DataFrame | None, state: dict[str, DataFrame], rules: Mapping, today: str, answers: DataFrame | None = None) -> Run:
     """today is the run's date as text; answers (id, json) are an enrichment provider's, if there is one.
 
@@ -58,7 +64,8 @@ def run(pages: DataFrame, project_pages: DataFrame | None, state: dict[str, Data
     classified = classified.persist(StorageLevel.MEMORY_AND_DISK_2)
     listings, content = S.remember(classified, state["listings"], state["content"], day)
     judged = R.hard_filter(classified.where("status <> 'seen'"), rules)
-    kept = R.scored(judged.where("drop_code IS NULL"), rules).where(F.col("score") >= R.min_score(rules))
+    passed = R.scored(judged.where("drop_code IS NULL"), rules)
+    kept = passed.where(F.col("score") >= R.min_score(rules))
     change = F.when((F.col("status") == "price_change") & (F.col("previous_price") != 0) & (F.col("price_eur") != 0), F.struct(F.col("previous_price").alias("old"), F.col("price_eur").alias("new")))
     labels = F.when(change.isNotNull(), F.array_append("labels", F.lit("price-drop"))).otherwise(F.col("labels"))
     items = kept.withColumn("labels", labels).withColumn("price_change", change).withColumn("first_seen", F.coalesce("known_since", day))
@@ -75,7 +82,8 @@ def run(pages: DataFrame, project_pages: DataFrame | None, state: dict[str, Data
     else:
         updates, projects = spark.createDataFrame([], "slug string, name string, url string, status string, district string, previous_status string"), state["projects"]
     tables = {"listings": S.prune(listings, day), "content": S.prune(content, day), "health": health, "projects": projects}
-    return Run(items, R.drop_histogram(judged), tables, S.alerts(health), updates, [classified])
+    low = passed.where(F.col("score") < R.min_score(rules)).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("score below threshold").alias("label"), "n")
+    return Run(items, R.drop_histogram(judged).unionByName(low), tables, S.alerts(health), updates, [classified])
 
 
 def publish(done: Run, rules: Mapping, to: report.Publisher, date: str) -> None:
@@ -93,7 +101,7 @@ def publish(done: Run, rules: Mapping, to: report.Publisher, date: str) -> None:
                 to.create_issue(row["title"], row["body"], row["labels"])
             rest = report.overflow(done.items).first()
             if rest["n"]:
-                to.create_issue(f"{rest['n']} more matching listings", rest["body"], ["match"])
+                to.create_issue(f"{rest['n']} additional matches over the {report.MOST_ISSUES}/run cap", rest["body"], ["match"])
         to.send_message(report.message(done.items, date).first()["text"])
     if not done.project_updates.isEmpty():
         numbered = done.project_updates.withColumn("seq", F.col("slug"))

@@ -16,8 +16,11 @@ from ..operators.extract import status_label
 
 MOST_ISSUES = MOST_IN_MESSAGE = 20
 MESSAGE_CHARS = 4096
+MOST_TITLES = 1000
 
-#: Label -> (colour, description).
+# Fixed values throughout this module: the sentences, headings and label texts of reports and messages.
+
+#: Label -> (colour, description).
 LABELS = {
     "hot": ("E11D48", "High-scoring listing"),
     "interesting": ("F59E0B", "Mid-scoring listing"),
@@ -27,7 +30,8 @@ LABELS = {
     "digest": ("8B5CF6", "One run's new matches, collected into a single issue"),
     "new-project": ("0EA5E9", "New or re-staged development project on YIM.BA"),
 }
-DEFAULT_LABEL = ("BFDBFE", "reality-watch label")
+#: For labels that have no entry of their own.
+DEFAULT_LABEL = ("BFDBFE", "Label of a run")
 
 
 def ranked(items: DataFrame) -> DataFrame:
@@ -177,18 +181,21 @@ def project_message(updates: DataFrame, date: str) -> DataFrame:
     return shown.join(counted, "k").select(T.truncated(text, MESSAGE_CHARS).alias("text"))
 
 
-def label_rows(used: DataFrame) -> DataFrame:
-    """(label, colour, description) of labels in use; unknown ones get the default."""
+def label_rows(used: DataFrame, default: tuple[str, str] = DEFAULT_LABEL) -> DataFrame:
+    """(label, colour, description) of labels in use; those without an entry get the default."""
     spark = used.sparkSession
     table = spark.createDataFrame([(k, *v) for k, v in LABELS.items()], "label string, colour string, description string")
     j = used.select("label").distinct().join(F.broadcast(table), "label", "left")
-    return j.select("label", F.coalesce("colour", F.lit(DEFAULT_LABEL[0])).alias("colour"), F.coalesce("description", F.lit(DEFAULT_LABEL[1])).alias("description"))
+    return j.select("label", F.coalesce("colour", F.lit(default[0])).alias("colour"), F.coalesce("description", F.lit(default[1])).alias("description"))
 
 
 def unreported(alerts: DataFrame, open_titles: DataFrame) -> DataFrame:
-    """Alerts (portal, ...) without an open alert (title) that names the portal. Open alerts are few: the service
-    lists them page by page."""
-    return alerts.join(F.broadcast(open_titles), F.contains(F.col("title"), F.col("portal")), "left_anti")
+    """Alerts (portal, ...) without an open alert (title) that names the portal. Open alerts are those of a page
+    that the service lists, MOST_TITLES at most; they are read and become conditions."""
+    titles = [r[0] for r in open_titles.select("title").where("title IS NOT NULL").distinct().limit(MOST_TITLES + 1).collect()]
+    if len(titles) > MOST_TITLES:
+        raise ValueError(f"there are more than {MOST_TITLES} open alerts")
+    return alerts.where(~F.exists(F.array(*map(F.lit, titles)), lambda t: F.contains(t, F.col("portal")))) if titles else alerts
 
 
 class Publisher(Protocol):

@@ -42,7 +42,7 @@ SELECT l_orderkey, l_linenumber, l_partkey,
   CASE p_size % 6 WHEN 0 THEN '1' WHEN 1 THEN '1.5' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN '4+' ELSE NULL END AS rooms,
   CASE l_suppkey % 4 WHEN 0 THEN 'Obchodná' WHEN 1 THEN 'Račianska' ELSE NULL END AS street,
   CASE s_nationkey % 8 WHEN 0 THEN 'Bratislava I - Staré Mesto' WHEN 1 THEN 'Bratislava - Ružinov' WHEN 2 THEN 'Bratislava III - Rača' WHEN 3 THEN 'Trenčín' WHEN 4 THEN 'Bratislava II' WHEN 5 THEN 'Bratislava - Petržalka' ELSE NULL END AS district,
-  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_linenumber * 2 - 2 AS INT) END AS floor,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_linenumber * 3 - 3 AS INT) END AS floor,
   CASE p_size % 4 WHEN 0 THEN 'novostavba' WHEN 1 THEN 'povodny_stav' WHEN 2 THEN 'rekonstrukcia' ELSE 'unknown' END AS condition,
   CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS balcony,
   concat('Predaj v meste ', n_name, CASE l_orderkey % 9 WHEN 0 THEN ', Bratislava, garáž' WHEN 1 THEN ', Dúbravka, parkovanie' WHEN 2 THEN ', dražba' WHEN 3 THEN ', Ružinov' ELSE ', Bratislava' END) AS description_snippet

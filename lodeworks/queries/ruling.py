@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import enrich, rules as R
 from .common import DUCK_LISTINGS, RULES, listings, quoted, sql_norm, sql_word, table
 
@@ -18,6 +19,11 @@ def drop_histogram(spark, sf):
     return R.drop_histogram(R.hard_filter(listings(spark, sf), RULES))
 
 
+def drop_reasons(spark, sf):
+    """The reason of each dropped listing, as text."""
+    return R.hard_filter(listings(spark, sf), RULES).where("drop_code IS NOT NULL").select(*KEY, "drop_reason")
+
+
 def _scored(spark, sf):
     judged = R.hard_filter(listings(spark, sf), RULES).where("drop_code IS NULL")
     return R.scored(judged, RULES)
@@ -65,9 +71,7 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id,
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
-_HOUSE = "(rodinny|dom|domu|domy|domov|domcek|vila|vily|vilka|chata|chalupa|dvojdom|radovy dom|usadlost|pozemok)"
-_COMMERCIAL = "(nebytovy|obchodny priestor|kancelaria|sklad|hala)"
-_FLAT = "(byt|byty|bytu|izbovy|garsonka|mezonet|apartman)"
+_HOUSE, _COMMERCIAL, _FLAT = (f"({'|'.join(words)})" for words in (T.HOUSE_WORDS, T.COMMERCIAL_WORDS, T.FLAT_WORDS))
 _CITY = "bratislava|bratislava i|ruzinov|raca|petrzalka|stare mesto|vrakuna|podunajske biskupice|vajnory|karlova ves|dubravka|lamac|devin|zahorska bystrica|jarovce|rusovce|cunovo"
 _LISTED = f"""
 l AS (SELECT *, {sql_norm("title || ' ' || description_snippet")} AS snip, {sql_norm("title || ' ' || description_snippet || ' ' || coalesce(street, '') || ' ' || coalesce(district, '')")} AS loc,
@@ -83,6 +87,15 @@ f AS (SELECT *, CASE
   WHEN ppm2 > 4500 THEN 'ppm2_high' WHEN nr < 1.5 THEN 'rooms_few' WHEN floor > 10 THEN 'floor_high' WHEN floor = 0 THEN 'ground_floor' WHEN NOT balcony THEN 'no_balcony'
   WHEN condition NOT IN ('unknown', 'novostavba', 'rekonstrukcia') THEN 'condition' WHEN {sql_word("racianska", "ns")} THEN 'banned_street'
   WHEN {sql_word("raca", "loc")} THEN 'banned_district' WHEN contains(snip, 'drazba') THEN 'banned_keyword' END AS drop_code FROM l)"""
+_REASON = """CASE drop_code WHEN 'house' THEN 'house or land, not a flat' WHEN 'commercial' THEN 'non-residential space, not a flat'
+  WHEN 'city_unconfirmed' THEN 'not confirmed to be in search.city ~Bratislava~' WHEN 'locality_mismatch' THEN 'locality ~' || district || '~ does not mention search.city ~Bratislava~'
+  WHEN 'district_not_searched' THEN 'district ~' || district || '~ not in search.districts'
+  WHEN 'area_small' THEN 'area ' || printf('%g', area_m2) || ' m² below min_area_m2 25' WHEN 'area_large' THEN 'area ' || printf('%g', area_m2) || ' m² above max_area_m2 115'
+  WHEN 'price_low' THEN 'price ' || price_eur || ' € below min_price_eur 25000 (auction teaser?)' WHEN 'price_high' THEN 'price ' || price_eur || ' € above max_price_eur 250000'
+  WHEN 'ppm2_high' THEN 'price/m² ' || printf('%g', ppm2) || ' € above max_price_per_m2 4500' WHEN 'rooms_few' THEN 'rooms ' || rooms || ' below min_rooms 1.5'
+  WHEN 'floor_high' THEN 'floor ' || floor || ' above max_floor 10' WHEN 'ground_floor' THEN 'ground floor excluded' WHEN 'no_balcony' THEN 'balcony required but listing has none'
+  WHEN 'condition' THEN 'condition ~' || condition || '~ not in allowed_conditions' WHEN 'banned_street' THEN 'banned street ~Račianska~' WHEN 'banned_district' THEN 'banned district ~Rača~'
+  WHEN 'banned_keyword' THEN 'banned keyword ~dražba~' END""".replace("~", "''")
 _LABELS = "(VALUES " + ", ".join(f"({quoted(c)}, {quoted(n)})" for c, n in R.DROP_LABELS.items()) + ") AS t(code, label)"
 _TERMS = (
     (sql_word("obchodna", "loc"), 15, "preferred street ''Obchodná''"),
@@ -102,9 +115,10 @@ s AS (SELECT *, {" + ".join(f"CASE WHEN {t} THEN {b} ELSE 0 END" for t, b, _ in
   array_to_string(list_filter([{", ".join(f"CASE WHEN {t} THEN '{b:+d} {x}' END" for t, b, x in _TERMS)},
     CASE WHEN pb <> 0 THEN printf('%+d', pb) || ' price/m² ' || CAST(round_even(ppm2, 0) AS BIGINT) || ' € vs reference 2600 € (' || printf('%+d', rb) || '%, capped at ±25)' END], lambda x: x IS NOT NULL), '; ') AS breakdown FROM h)"""
 
-QUERIES = {f.__name__: f for f in (hard_filter, drop_histogram, score_breakdown, min_score_cut, tier_asof, enrich_merge)}
+QUERIES = {f.__name__: f for f in (hard_filter, drop_reasons, drop_histogram, score_breakdown, min_score_cut, tier_asof, enrich_merge)}
 ORACLES = {
     "hard_filter": f"WITH {_LISTED} SELECT l_orderkey, l_linenumber, l_partkey, portal, drop_code FROM f",
+    "drop_reasons": f"WITH {_LISTED} SELECT l_orderkey, l_linenumber, l_partkey, {_REASON} AS drop_reason FROM f WHERE drop_code IS NOT NULL",
     "drop_histogram": f"WITH {_LISTED} SELECT label, count(*) AS n FROM f JOIN {_LABELS} ON drop_code = code GROUP BY label",
     "score_breakdown": f"WITH {_LISTED}, {_SCORED} SELECT l_orderkey, l_linenumber, l_partkey, CAST(score AS INT) AS score, breakdown, CASE WHEN score >= 40 THEN 'hot' WHEN score >= 20 THEN 'interesting' WHEN score >= -5 THEN 'match' ELSE '' END AS labels FROM s",
     "min_score_cut": f"WITH {_LISTED}, {_SCORED} SELECT portal, count(*) AS n, CAST(max(score) AS INT) AS best FROM s WHERE score >= 10 GROUP BY portal",

@@ -64,8 +64,8 @@ r AS (SELECT coalesce(k.id, n.id) AS id, coalesce(first_seen, DATE '1998-01-01')
 def project_diff(spark, sf):
     """Each user's last event before the middle of the log is the known one, their last one the listed."""
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("slug"), "event_id", F.col("event_type").alias("status"))
-    middle = e.agg(F.expr("max(event_id) DIV 2").alias("m"))
-    known = e.join(F.broadcast(middle), F.col("event_id") <= F.col("m")).groupBy("slug").agg(F.max_by("status", "event_id").alias("status"))
+    middle = e.agg(F.expr("max(event_id) DIV 2")).first()[0]  # one number
+    known = e.where(F.col("event_id") <= F.lit(middle)).groupBy("slug").agg(F.max_by("status", "event_id").alias("status"))
     listed = e.groupBy("slug").agg(F.max_by("status", "event_id").alias("status"))
     out = S.project_updates(listed, known, ["click", "purchase", "view"], seeding=False)
     return out.select("slug", "status", "previous_status", F.col("previous_status").isNull().alias("is_new"))

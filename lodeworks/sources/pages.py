@@ -6,6 +6,8 @@ rows from any fetcher as a Spark data source, one partition for each portal, and
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, urlencode
 from urllib.robotparser import RobotFileParser
@@ -24,6 +26,8 @@ SCHEMA = "portal string, page_no int, url string, status int, html string"
 #: What a page that blocks robots says near its top.
 CHALLENGES = ("just a moment", "cf-browser-verification", "cf_chl_", "attention required", "captcha", "access denied")
 BLOCKED = (403, 429, 503)
+#: Of our own, in the place of an HTTP status.
+DISALLOWED, UNREACHABLE = -1, -2
 
 
 def is_challenge(html: Column) -> Column:
@@ -37,7 +41,8 @@ def is_challenge(html: Column) -> Column:
 def page_error() -> Column:
     """Why a page can't be used, or null."""
     status = F.col("status")
-    return F.when(status.isin(*BLOCKED), F.concat(F.lit("blocked: HTTP "), status.cast("string"))).when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))).when(is_challenge(F.col("html")), F.lit("challenge page"))
+    ours = F.when(status == DISALLOWED, F.lit("disallowed by robots.txt")).when(status == UNREACHABLE, F.lit("request failed"))
+    return ours.when(status.isin(*BLOCKED), F.concat(F.lit("blocked: HTTP "), status.cast("string"))).when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))).when(is_challenge(F.col("html")), F.lit("challenge page"))
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:
@@ -102,6 +107,44 @@ def robots_allow(url: str, robots_txt: str | None, agent: str = "*") -> bool:
     return parser.can_fetch(agent, url)
 
 
+class PoliteFetcher:
+    """fetch(portal, page) for `page_source`: asks robots.txt once for each site (what can't be had allows all), waits
+    between the requests to a site, never before the first, and gives up on a request after a while.
+
+    get(url, timeout) -> (status, text), or raises; sleep and draw (of seconds between two bounds) can be replaced.
+    """
+
+    def __init__(self, get: Callable[[str, float], tuple[int, str]], rules: dict, delay: tuple[float, float] = (3.0, 6.0), timeout: float = 30.0, agent: str = "*", sleep: Callable[[float], None] = time.sleep, draw: Callable[[float, float], float] = random.uniform):
+        self.get, self.rules, self.delay, self.timeout, self.agent, self.sleep, self.draw = get, rules, delay, timeout, agent, sleep, draw
+        self.robots: dict[str, str | None] = {}
+        self.asked: dict[str, int] = {}
+
+    def _robots(self, site: str) -> str | None:
+        if site not in self.robots:
+            try:
+                status, text = self.get(f"{site}/robots.txt", self.timeout)
+                self.robots[site] = text if status == 200 else None
+            except Exception:  # noqa: BLE001  whatever a client raises
+                self.robots[site] = None
+        return self.robots[site]
+
+    def page(self, url: str) -> tuple[int, str]:
+        site = "/".join(url.split("/")[:3])
+        if not robots_allow(url, self._robots(site), self.agent):
+            return DISALLOWED, ""
+        if self.asked.get(site):
+            self.sleep(self.draw(*self.delay))
+        self.asked[site] = self.asked.get(site, 0) + 1
+        try:
+            return self.get(url, self.timeout)
+        except Exception:  # noqa: BLE001
+            return UNREACHABLE, ""
+
+    def __call__(self, portal: str, page: int) -> tuple[str, int, str]:
+        url = search_url(portal, self.rules, page)
+        return (url, *self.page(url))
+
+
 class _Portal(InputPartition):
     pass
 

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks import cli
 from lodeworks.functions import text as T
-from lodeworks.operators import enrich, extract
-from lodeworks.plans import pipeline, report
+from lodeworks.operators import enrich, extract, rules as R
+from lodeworks.plans import pipeline, publish, report
 from lodeworks.queries.common import RULES
 from lodeworks.sources import pages as P, store
 from lodeworks.streaming import changes
@@ -113,3 +114,117 @@ def test_legacy_state_is_read(spark):
     t = store.import_json(spark, json.dumps({"bazos:1": {"first_seen": "2026-01-01", "url": "u", "price_eur": 5}}))
     assert t["listings"].first().price_eur == 5 and t["content"].count() == 0
     assert store.import_json(spark, "[]")["listings"].count() == 0
+
+
+def test_broken_markup_loses_only_its_card(spark):
+    good = CARD.format(id=11111, title="3-izbový byt", text="68 m²", price="185 000 €")
+    assert [c["raw_id"] for c in extract.bazos_cards(extract.parse("<![foo[ bar" + good))] == ["11111"]
+    cards = "".join(f'<div class="project-list-result intention"><h3><a href="{h}">P</a></h3></div>' for h in ("http://[x/y", "/projekt/b"))
+    assert [c.get("slug") for c in extract.project_cards(extract.parse(cards))] == [None, "b"]
+    out = extract.projects(spark.createDataFrame([(cards,), ("<![x[",), (None,)], "html string")).collect()
+    assert [r.slug for r in out] == ["b"]
+
+
+def test_cards_that_cannot_be_cut_are_counted(spark, monkeypatch):
+    def bad(root):
+        return extract.each(root.all("div"), lambda n: 1 / 0 if n.attrs.get("id") else {"url": "u"})
+
+    monkeypatch.setitem(extract.EXTRACTORS, "bazos", bad)
+    pages = spark.createDataFrame([("bazos", 1, "u", 200, "<div></div><div id=x></div><div id=y></div>")], PAGE)
+    assert extract.cards(pages).count() == 1 and [tuple(r) for r in extract.broken_cards(pages).collect()] == [("bazos", 2)]
+
+
+def test_text_mined_without_a_price():
+    html = "<div><div><p><a href='/byt/1234567'>Prvý byt</a></p><i>3 izby 70 m2</i></div><div><a href='/byt/7654321'>Druhý byt</a> 1 € 2 €</div></div>"
+    got = {c["raw_id"]: c["info_text"] for c in extract.byty_cards(extract.parse(html))}
+    assert got == {"1234567": "Prvý byt 3 izby 70 m2", "7654321": "Druhý byt"}
+
+
+class Session:
+    """Answers of an HTTP session, by the end of the address."""
+
+    def __init__(self, **answers):
+        self.answers, self.calls = answers, []
+
+    def _answer(self, url, **k):
+        self.calls.append((url, k))
+        got = self.answers[url.rsplit("/", 1)[1]]
+        if isinstance(got, Exception):
+            raise got
+        status, body = got
+        return type("Answer", (), {"status_code": status, "json": lambda self: body})()
+
+    get = post = _answer
+
+
+ENV = {"GITHUB_TOKEN": "t", "GITHUB_REPOSITORY": "a/b", "TELEGRAM_BOT_TOKEN": "k", "TELEGRAM_CHAT_ID": "7"}
+
+
+def test_services_send_or_say_that_they_did_not():
+    s = Session(labels=(422, {}), issues=(201, {"number": 5}), sendMessage=(200, {}))
+    to = publish.Services(s, ENV)
+    to.ensure_labels([("hot", "E11D48", "x"), ("hot", "E11D48", "x")])
+    assert to.create_issue("t", "b", ["hot"]) == 5 and to.send_message("m") and len(s.calls) == 3
+    assert s.calls[0][0].endswith("/repos/a/b/labels") and s.calls[2][1]["json"]["chat_id"] == "7"
+    for session, env in ((Session(labels=(500, {}), issues=(500, {}), sendMessage=(400, {})), ENV), (Session(labels=OSError(), issues=OSError(), sendMessage=OSError()), ENV), (None, {})):
+        to = publish.Services(session, env)
+        to.ensure_labels([("hot", "E11D48", "x")])
+        assert to.create_issue("t", "b", []) is None and to.open_titles("x") == [] and not to.send_message("m") and not to.done
+
+
+def test_open_alerts_are_looked_up(spark):
+    to = publish.Services(Session(issues=(200, [{"title": "bazos: 0 listings"}])), ENV)
+    titles = spark.createDataFrame([(t,) for t in to.open_titles("scraper-broken")], "title string")
+    alerts = spark.createDataFrame([("bazos", 3), ("byty", 4)], "portal string, zero_streak int")
+    assert [r.portal for r in report.unreported(alerts, titles).collect()] == ["byty"]
+
+
+def test_a_polite_fetcher_asks_robots_and_waits():
+    asked, slept = [], []
+
+    def get(url, timeout):
+        asked.append((url, timeout))
+        if url.endswith("robots.txt"):
+            if "bazos" in url:
+                raise OSError
+            return (200, "User-agent: *\nDisallow: /byty/") if "byty.sk" in url else (404, "")
+        if "topreality" in url:
+            raise OSError
+        return 200, "h"
+
+    fetch = P.PoliteFetcher(get, RULES, sleep=slept.append, draw=lambda a, b: a)
+    assert [fetch("bazos", k)[1] for k in (1, 2, 3)] == [200, 200, 200] and slept == [3.0, 3.0]
+    assert fetch("byty", 1)[1] == P.DISALLOWED and fetch("topreality", 1)[1] == P.UNREACHABLE
+    assert sum(u.endswith("robots.txt") for u, _ in asked) == 3 and {t for _, t in asked} == {30.0}
+
+
+def test_providers_are_asked_by_schema(spark):
+    body = {"candidates": [{"content": {"parts": [{"text": '{"rooms": "3"}'}]}}]}
+    s = Session(x=(200, body))
+    provider = enrich.http_provider(s.post, "http://h/x", "key")
+    df = spark.createDataFrame([("a", "Byt", "Pekný", {"info": "70 m2", "locality": ""})], "id string, title string, description_snippet string, raw map<string,string>")
+    assert [tuple(r) for r in enrich.answers(df, provider).collect()] == [("a", '{"rooms": "3"}')]
+    sent = s.calls[0][1]["json"]
+    assert "Byt Pekný 70 m2" in sent["contents"][0]["parts"][0]["text"] and sent["generationConfig"]["responseSchema"]["properties"]["floor"] == {"type": "integer", "nullable": True}
+    assert enrich.answers(df, enrich.http_provider(Session(x=(500, {})).post, "http://h/x", "key")).count() == 0 and enrich.answers(df, None).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    rules = tmp_path / "rules.yaml"
+    rules.write_text(json.dumps(OPEN_RULES))
+    spark.createDataFrame([_page((11111, "3-izbový byt", "68 m², novostavba", "185 000 €"))], PAGE).write.parquet(str(tmp_path / "pages"))
+    args = ["--rules", str(rules), "--pages", str(tmp_path / "pages"), "--state", str(tmp_path / "state"), "--archive", str(tmp_path / "archive")]
+    go = lambda more, to, env=None: cli.run(cli.arguments([*args, *more]), lambda: spark, to, env or {}, today="2026-07-05")
+    assert go(["--validate-rules"], None) == 0
+    to = report.Recorder()
+    assert go(["--dry-run"], to) == 0 and go([], to, {"DRY_RUN": "yes"}) == 0 and not to.issues and not (tmp_path / "state").exists()
+    assert go([], to) == 0 and len(to.issues) == 1 and (tmp_path / "archive").exists()
+    assert go([], to) == 0 and len(to.issues) == 1  # seen by now
+    rules.write_text("filters: 5")
+    assert go([], to) == 2
+
+
+def test_first_of_equal_tiers_counts(spark):
+    tiers = spark.createDataFrame([(5, "first"), (9, "high"), (5, "second")], "min int, label string").coalesce(1)
+    got = {r.score: r.label for r in R.tier_join(spark.createDataFrame([(4,), (5,), (9,), (None,)], "score int"), tiers).collect()}
+    assert got == {4: None, 5: "first", 9: "high", None: None}
