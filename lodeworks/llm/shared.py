@@ -1,23 +1,33 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share.
+
+What an operator returns still reads some of its tables, so they stay until the caller has used the result:
+`scope` deletes what was written inside it, and `clear` all that this process has written.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where neither the cluster nor the caller has named a folder, as in tests.
+#: Only on one machine, and only where neither the cluster nor the caller has named a folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
+#: Tables that this process has written and not deleted.
+_written: list[DataFrame] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or else the context's checkpoint folder, or else one of our own."""
+    """spark.checkpoint.dir, or else the context's checkpoint folder, or else, on one machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
     return LOCAL_FOLDER
 
@@ -40,6 +50,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     fields = [f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by]
     out = spark.read.schema(type(df.schema)(fields)).parquet(path)
     out.shared_path = path
+    _written.append(out)
     return out
 
 
@@ -49,3 +60,20 @@ def drop(*tables: DataFrame) -> None:
         spark = df.sparkSession
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _written[:] = [x for x in _written if x is not df]
+
+
+@contextmanager
+def scope(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes at its end all tables written inside it, but for those in the list that it gives."""
+    before = list(_written)
+    kept = list(keep)
+    try:
+        yield kept
+    finally:
+        drop(*(x for x in list(_written) if not any(x is y for y in (*before, *kept))))
+
+
+def clear() -> None:
+    """Deletes all tables that this process has written: results that read them can't be used any more."""
+    drop(*list(_written))

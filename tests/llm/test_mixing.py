@@ -39,3 +39,13 @@ def test_join_beyond_the_broadcast_bound(many, monkeypatch):
     want = sorted((r.doc_id, r.copy) for r in mixing.mix(many).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert sorted((r.doc_id, r.copy) for r in mixing.mix(many).collect()) == want
+
+
+def test_rows_without_an_id_draw_by_text_and_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("x").alias("source"))
+    out = mixing.mix(df)
+    assert abs(out.count() - 4000) < 300 and max(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 1600
+    same = mixing.mix(df.withColumn("text", F.lit("t")).coalesce(1), size=8000)
+    assert max(r.n for r in same.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 0.5 * max(1, same.count()) + 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
