@@ -18,12 +18,14 @@ from .text import free_name, whole
 ROUNDS = 8
 
 #: Fixed patterns, in the order in which a place in the text is given to one of them.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[\p{L}\p{M}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
 ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
+#: The day first; where that is no day, the month.
 DAY_FIRST = r"(?<!\d)\d{2}[./]\d{2}[./]\d{4}(?!\d)"
 SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-CARD = r"(?<!\d)(?:\d[ \-]?){12,18}\d(?!\d)"
+#: Groups of digits, 13 digits or more in all; cards are looked for from every group on.
+CARD = r"(?<!\d)\d(?:[ \-]?\d){12,}(?!\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 ANY = "|".join((EMAIL, ADDRESS, ISO_DATE, DAY_FIRST, SOCIAL, PHONE, CARD))
 KINDS = ("email", "ip", "date", "social", "phone", "card")
@@ -83,6 +85,64 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(reversed_, one), F.lit(0), lambda s, x: s + x)
 
 
+#: Digits of a card, the least and the most.
+CARD_DIGITS = (13, 19)
+
+
+def cards_in(x: Column) -> Column:
+    """The places of cards in groups of digits, as structs (first, last) of group numbers: from the first group on
+    from which so many digits, up to the end of a group, pass Luhn's check; of several the longest; then on behind it."""
+    groups = F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def from_(at: Column) -> Column:
+        joined = lambda n: F.array_join(F.slice(groups, at + 1, n), "")
+        fits = lambda n: (at + n <= F.size(groups)) & F.length(joined(n)).between(*CARD_DIGITS) & (F.pmod(luhn_sum(joined(n)), F.lit(10)) == 0)
+        # A group has a digit at least, so no card has more groups than digits.
+        return F.array_max(F.filter(F.sequence(F.lit(1), F.lit(CARD_DIGITS[1])), fits))
+
+    def step(state: Column, at: Column) -> Column:
+        free = F.element_at(state, -1)["last"].isNull() | (F.element_at(state, -1)["last"] < at)
+        found = F.when(free, from_(at))
+        return F.when(found.isNotNull(), F.concat(state, F.array(F.struct(at.alias("first"), (at + found - 1).alias("last"))))).otherwise(state)
+
+    # The first entry stands for none, so that there is always a last one.
+    start = F.array(F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step)
+    return F.when(F.size(groups) > 0, F.filter(found, lambda s: s["first"].isNotNull())).otherwise(none)
+
+
+def _pieces(x: Column, spans: Column) -> tuple[Column, Column]:
+    """Groups of digits with what stands between them cut at spans: the text before each span and after the last,
+    and the text of each span."""
+    groups, between = F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(x, F.lit(r"\D+"), F.lit(0))
+    # x begins and ends with digits, so group i is followed by separator i.
+    all_ = F.zip_with(groups, between, lambda g, b: F.struct(g.alias("g"), F.coalesce(b, F.lit("")).alias("b")))
+    text = lambda a, z: F.array_join(F.transform(F.slice(all_, a + 1, F.greatest(z - a + 1, F.lit(0))), lambda s: F.concat(s["g"], s["b"])), "")
+    bare = lambda a, z: F.concat(text(a, z - 1), F.get(groups, z))
+    ends = F.concat(F.array(F.lit(-1)), F.transform(spans, lambda s: s["last"]))
+    starts = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(groups)))
+    behind = lambda e: F.when(e >= 0, F.coalesce(F.get(between, e), F.lit(""))).otherwise(F.lit(""))
+    gaps = F.zip_with(ends, starts, lambda e, s: F.concat(behind(e), text(e + 1, s - 1)))
+    return gaps, F.transform(spans, lambda s: bare(s["first"], s["last"]))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cards(x: Column, spans: Column, key: str, back: bool) -> Column:
+    """x with its cards under pseudonyms. Where one would make others be found in x, they are taken again: so what is
+    found stays in its place, and can be turned back."""
+
+    def turn(v: Column) -> Column:
+        gaps, values = _pieces(v, spans)
+        return F.array_join(F.zip_with(gaps, F.transform(values, lambda c: _card(c, key, back)), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+
+    return F.when(F.size(spans) == 0, x).otherwise(walked(x, turn, lambda v: F.to_json(cards_in(v)) == F.to_json(spans)))
+
+
 def _card(x: Column, key: str, back: bool) -> Column:
     """The first digit (the network) stays, the check digit is made anew."""
     d = _digits(x)
@@ -103,15 +163,35 @@ def _phone(x: Column, key: str, back: bool) -> Column:
 _EPOCH, _LEFT, _RIGHT = "1800-01-01", 189, 773
 
 
+def _day_of(x: Column) -> tuple[Column, Column]:
+    """(date, whether the month comes first) of a date in one of the three spellings."""
+    iso = x.rlike(r"^\d{4}-")
+    spelled = lambda m, d: F.try_to_date(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, m, 2), F.substring(x, d, 2)), "yyyy-MM-dd")
+    day_first, month_first = F.when(~iso, spelled(4, 1)), F.when(~iso, spelled(1, 4))
+    return F.coalesce(F.when(iso, F.try_to_date(x, "yyyy-MM-dd")), day_first, month_first), ~iso & day_first.isNull()
+
+
+def walked(start: Column, turn, good, most: int = 64) -> Column:
+    """start permuted until the result is good: a permutation of the good values, if start is one. turn and good map
+    columns; where a tenth of all values or more is good, the walk ends within `most` steps but for one value in 800."""
+    first = F.struct(start.alias("v"), F.lit(False).alias("done"))
+    step = lambda s, _: F.when(s["done"], s).otherwise(F.transform(F.array(turn(s["v"])), lambda v: F.struct(v.alias("v"), good(v).alias("done")))[0])
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step)
+    return F.when(out["done"], out["v"]).otherwise(start)
+
+
 def _date(x: Column, key: str, back: bool) -> Column:
-    """Another day of the years 1800 to 2199; digits and separators stay where they are."""
+    """Another day of the years 1800 to 2199; digits and separators stay where they are. Where the month must come
+    first, it must in the result."""
     iso = x.rlike(r"^\d{4}-")
-    year, month, day = (F.when(iso, F.substring(x, i, k)).otherwise(F.substring(x, j, k)) for i, j, k in ((1, 7, 4), (6, 4, 2), (9, 1, 2)))
-    at = F.datediff(F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd"), F.lit(_EPOCH).cast("date")).cast("long")
-    new = F.date_add(F.lit(_EPOCH).cast("date"), feistel(at, _LEFT, _RIGHT, key, F.lit("date"), back).cast("int"))
-    sep = F.substring(x, 3, 1)
-    text = F.date_format(new, "yyyy-MM-dd")
-    return F.when(iso, text).otherwise(F.concat(F.substring(text, 9, 2), sep, F.substring(text, 6, 2), F.substring(x, 6, 1), F.substring(text, 1, 4)))
+    date, month_first = _day_of(x)
+    epoch = F.lit(_EPOCH).cast("date")
+    at = F.datediff(date, epoch).cast("long")
+    turn = lambda v: feistel(v, _LEFT, _RIGHT, key, F.lit("date"), back)
+    late = walked(at, turn, lambda v: F.dayofmonth(F.date_add(epoch, v.cast("int"))) > 12)
+    text = F.date_format(F.date_add(epoch, F.when(month_first, late).otherwise(turn(at)).cast("int")), "yyyy-MM-dd")
+    a, b = (F.when(month_first, F.substring(text, i, 2)).otherwise(F.substring(text, j, 2)) for i, j in ((6, 9), (9, 6)))
+    return F.when(iso, text).otherwise(F.concat(a, F.substring(x, 3, 1), b, F.substring(x, 6, 1), F.substring(text, 1, 4)))
 
 
 def _ip(x: Column, key: str, back: bool) -> Column:
@@ -147,34 +227,61 @@ def _email(x: Column, key: str, back: bool) -> Column:
         return F.when(k == 0, F.lit("")).otherwise(spelled(feistel(value(c), power(half), power(k - half), key, tweak, back), k))
 
     new = F.array_join(F.transform(chunks, other), "")
-    digits = F.regexp_replace(local, r"\D+", "")
-    nd = F.least(F.length(digits), F.lit(18))
-    moved = F.when(nd == 0, F.lit("")).otherwise(F.concat(permute_digits(F.substring(digits, F.lit(1), nd), key, F.concat(F.lit("email"), rest), back), F.substring(digits, nd + 1, F.length(digits))))
-    return F.concat(_fill(_fill(local, "A-Za-z", new), "0-9", moved), rest)
+    digits = F.regexp_replace(local, r"[^0-9]+", "")
+    # Eighteen digits at a time are one number.
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(digits) - 1) / 18).cast("int"), F.lit(0))), lambda i: F.substring(digits, i * 18 + 1, F.lit(18)))
+    tweak = lambda i: F.concat(F.lit("email"), rest, F.when(i > 0, i.cast("string")).otherwise(F.lit("")))
+    moved = F.array_join(F.transform(runs, lambda d, i: F.when(d == "", F.lit("")).otherwise(permute_digits(d, key, tweak(i), back))), "")
+    return F.concat(_foreign(_fill(_fill(local, "A-Za-z", new), "0-9", moved), rest, key, back), rest)
+
+
+#: Small letters of other alphabets, each permuted within its own: Latin with marks, Greek, Cyrillic.
+ALPHABETS = tuple("".join(c for c in map(chr, range(a, b + 1)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c) for a, b in ((0xE0, 0x17F), (0x3AC, 0x3CE), (0x430, 0x45F)))
+
+
+def _foreign(local: Column, rest: Column, key: str, back: bool) -> Column:
+    """Letters of ALPHABETS, each moved by a keyed number of its place and the domain; letters of other scripts stay."""
+    chars = F.filter(F.split(local, ""), lambda c: c != "")
+
+    def one(c: Column, i: Column) -> Column:
+        small = F.lower(c)
+        out = c
+        for letters in ALPHABETS:
+            at = F.instr(F.lit(letters), small)
+            by = F.pmod(_number(key, F.lit("letter"), rest, i), F.lit(len(letters)))
+            new = F.substring(F.lit(letters), (F.pmod(at - 1 + (-by if back else by), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+            out = F.when(at > 0, F.when(c == small, new).otherwise(F.upper(new))).otherwise(out)
+        return out
+
+    return F.when(local.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(chars, one), "")).otherwise(local)
+
+
+def _is_issued(d: Column) -> Column:
+    """Whether nine digits can be a social number."""
+    return ~d.startswith("000") & ~d.startswith("666") & ~d.startswith("9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
 
 
 def _social(x: Column, key: str, back: bool) -> Column:
-    return _fill(x, "0-9", permute_digits(_digits(x), key, F.lit("social"), back))
+    """Another number that can be issued."""
+    return _fill(x, "0-9", walked(_digits(x), lambda d: permute_digits(d, key, F.lit("social"), back), _is_issued))
 
 
 def kind_of(x: Column) -> Column:
-    """The kind whose check x passes, or null."""
+    """The kind whose check x passes, or null; card for groups of digits that may hold some (see cards_in)."""
     octets = F.split(x, r"\.")
     real = F.forall(octets, lambda o: o.cast("int").between(0, 255) & ((F.length(o) == 1) | ~o.startswith("0")))
     iso = x.rlike(f"^(?:{ISO_DATE})$")
-    spelled = F.when(iso, x).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2)))
-    day = F.try_to_date(spelled, "yyyy-MM-dd")
+    day, _ = _day_of(x)
     in_years = day.between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date"))
     d = _digits(x)
     is_ = lambda p: x.rlike(f"^(?:{p})$")
-    ssn = ~x.startswith("000") & ~x.startswith("666") & ~x.startswith("9") & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000")
     return (
         F.when(is_(EMAIL), F.lit("email"))
         .when(is_(ADDRESS) & real, F.lit("ip"))
         .when((iso | is_(DAY_FIRST)) & in_years, F.lit("date"))
-        .when(is_(SOCIAL) & ssn, F.lit("social"))
+        .when(is_(SOCIAL) & _is_issued(d), F.lit("social"))
         .when(is_(PHONE) & F.length(d).between(7, 15), F.lit("phone"))
-        .when(is_(CARD) & F.length(d).between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0), F.lit("card"))
+        .when(is_(CARD), F.lit("card"))
     )
 
 
@@ -192,21 +299,38 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", back: bool = False
 
     A null text stays null and has none; whole texts are searched, whatever their length. Repeated rows and
     equal values get equal pseudonyms. Columns named found or n_found are replaced. back=True restores texts
-    that were made with the key. (A social number can get a pseudonym in a range that is never issued, which
-    then isn't found again.)
+    that were made with the key. Of an address's name, letters of scripts without a place in ALPHABETS stay. Other
+    columns keep their values, whatever their names.
     """
     df = df.drop("found", "n_found")
     hits, parts = free_name(df, "_hits"), free_name(df, "_parts")
     body = whole(text)
     # Most texts have none; only the others are cut up.
     df = df.withColumn(hits, F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    df = df.withColumn("found", F.transform(hits, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value"))))
-    df = df.withColumn("found", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key, back).alias("pseudonym"))))
+    kinds = free_name(df, "_kinds")
+    df = df.withColumn(kinds, F.transform(hits, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value"))))
+    # A hit is gaps and values in turn: most are one value between empty gaps; groups of digits may hold several cards, or none.
+    entry = lambda k, v, p: F.struct(k.alias("kind"), v.alias("value"), p.alias("pseudonym"))
+    hit = lambda gaps, values: F.struct(gaps.alias("gaps"), values.alias("values"))
+    nothing = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
+
+    def cut(s: Column) -> Column:
+        k, v = s["kind"], s["value"]
+        one = hit(F.array(F.lit(""), F.lit("")), F.array(entry(k, v, pseudonym(v, k, key, back))))
+        return F.when(k.isNull(), hit(F.array(v), nothing)).when(k == "card", _bound(cards_in(v), lambda spans: cards(v, spans))).otherwise(one)
+
+    def cards(v: Column, spans: Column) -> Column:
+        gaps, values = _pieces(v, spans)
+        new = _pieces(_cards(v, spans, key, back), spans)[1]
+        return hit(gaps, F.zip_with(values, new, lambda a, b: entry(F.lit("card"), a, b)))
+
+    df = df.withColumn("found", F.transform(kinds, cut))
     df = df.withColumn(parts, F.when(F.size(hits) > 0, F.split(body, ANY)))
-    new = F.array_join(F.zip_with(parts, F.col("found"), lambda p, s: F.concat(p, F.coalesce(s["pseudonym"], F.lit("")))), "")
+    spelled = lambda f: F.array_join(F.zip_with(f["gaps"], f["values"], lambda g, v: F.concat(g, F.coalesce(v["pseudonym"], F.lit("")))), "")
+    new = F.array_join(F.zip_with(parts, F.col("found"), lambda p, f: F.concat(p, F.coalesce(spelled(f), F.lit("")))), "")
     df = df.withColumn(text, F.when(F.size(hits) > 0, new).otherwise(F.col(text)))
-    df = df.withColumn("found", F.filter("found", lambda s: s["kind"].isNotNull()))
-    return df.withColumn("n_found", F.size("found").cast("long")).drop(hits, parts)
+    df = df.withColumn("found", F.flatten(F.transform("found", lambda f: f["values"])))
+    return df.withColumn("n_found", F.size("found").cast("long")).drop(hits, parts, kinds)
 
 
 #: The key of the query; a real key is a secret of whoever calls pseudonymise.
