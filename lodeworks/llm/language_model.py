@@ -45,11 +45,11 @@ BITS_EACH, PROBES = 10, 4
 SLICES, SLICE_KEYS = 64, 1 << 22
 #: Bytes of the filter that are broadcast at once.
 ROUND_BYTES = 128 << 20
-FLUSH, PAIRS_FLUSH = 1 << 19, 1 << 23
+FLUSH, PAIRS_FLUSH = 1 << 18, 1 << 22
 #: Bytes of the filter that come to the driver at a time.
 FETCH = 16 << 20
 #: Words that a task keeps numbered; when full it starts afresh.
-NUMBERED = 1 << 19
+NUMBERED = 1 << 18
 
 #: The least counts of each level: 0, then the distinct whole numbers from powers of BASE on.
 STEPS = np.array(sorted({0, *(math.ceil(BASE**k - 1e-9) for k in range(190))}), np.float64)
@@ -210,14 +210,15 @@ def level(count: np.ndarray) -> np.ndarray:
 class Filter:
     """A log-frequency Bloom filter of some slices, each with its own number of bits; other slices hold nothing."""
 
-    def __init__(self, n_slices: int, slices: dict[int, bytes]):
+    def __init__(self, n_slices: int, sizes: list[tuple[int, int]], data: bytes):
+        """sizes: (slice, bytes) of the slices in data, one after the other."""
         self.bits = np.zeros(n_slices, np.uint64)
         self.first = np.zeros(n_slices, np.uint64)
         at = 0
-        for s, raw in slices.items():
-            self.bits[s], self.first[s] = len(raw) * 8, at
-            at += len(raw) * 8
-        self.data = np.frombuffer(b"".join(slices.values()), np.uint8)
+        for s, size in sizes:
+            self.bits[s], self.first[s] = size * 8, at
+            at += size * 8
+        self.data = np.frombuffer(data, np.uint8)  # no copy: the data is much of a task's memory
         self.has = self.bits > 0
 
     @staticmethod
@@ -289,7 +290,7 @@ def _score(sent_words, sent_filter, first_round: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(*sent_words.value)
-        pairs = Filter(words.n_slices, sent_filter.value)
+        pairs = Filter(words.n_slices, *sent_filter.value)
         floor = math.log10(0.5 / words.whole)
         start = math.log10(words.starts + MASS)
         for whole_batch in batches:
@@ -374,13 +375,17 @@ def score(df: DataFrame, train: Column | None = None, text: str = "text", round_
         numbered = shared.written(numbered, "numbered")
     parts = []
     for own in passes:
-        held = {}  # round_bytes at most, or one slice; fetched in portions
+        data, held = bytearray(), []  # round_bytes at most, or one slice; fetched in portions
         for some in rounds([x for x in sizes if x[0] in set(own)], FETCH):
-            held |= {r[0]: bytes(r[1]) for r in sliced.where(F.col("slice").isin(some)).collect()}
+            for r in sliced.where(F.col("slice").isin(some)).collect():
+                held.append((r[0], len(r[1])))
+                data += r[1]
         if not parts:  # slices without a key
-            held |= dict.fromkeys(set(range(n_slices)).difference(x for x, _ in sizes), bytes(8))
-        sent_filter = spark.sparkContext.broadcast(held)
-        del held
+            empty = sorted(set(range(n_slices)).difference(x for x, _ in sizes))
+            held += [(s, 8) for s in empty]
+            data += bytes(8 * len(empty))
+        sent_filter = spark.sparkContext.broadcast((held, data))
+        del data, held
         # Written before the next round's slices are sent, so that one round's are held at a time.
         parts.append(shared.written(numbered.mapInArrow(_score(sent_words, sent_filter, not parts), _PARTS), "score-parts"))
         sent_filter.destroy()

@@ -38,7 +38,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 #: Bytes of text that are worked on at once.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,8 @@ from lodeworks.llm import language_model as lm
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(0)
     keys, counts = np.arange(4000, dtype=np.uint64) * np.uint64(7919) + np.uint64(5), rng.zipf(1.5, 4000).clip(1, 10**6)
-    f = lm.Filter(2, {1: lm.Filter.build(keys, counts)})
+    raw = lm.Filter.build(keys, counts)
+    f = lm.Filter(2, [(1, len(raw))], raw)
     one = np.ones(4000, np.int64)
     got, want = lm.STEPS[f.level(keys, one)], lm.STEPS[lm.level(counts)]
     assert (got >= want).all() and (got == want).mean() > 0.98
