@@ -63,6 +63,11 @@ def drop(*tables: DataFrame) -> None:
         _written[:] = [x for x in _written if x is not df]
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage, upon which Spark deletes the shuffle files that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scope(*keep: DataFrame) -> Iterator[list[DataFrame]]:
     """Deletes at its end all tables written inside it, but for those in the list that it gives."""

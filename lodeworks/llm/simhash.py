@@ -371,6 +371,13 @@ def _folded(parity: bytes) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, PARITIES[0] // 64), axis=0)
 
 
+def _apart(p: bytes, q: bytes) -> int:
+    """In how many bits two parities differ."""
+    if len(p) == len(q):
+        return (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
+    return int(np.bitwise_count(_folded(p) ^ _folded(q)).sum(dtype=np.int64))
+
+
 def _rest_pairs(similarity: float):
     """All pairs of a bucket in different components (part), but for those that an exact bound refutes."""
 
@@ -396,8 +403,23 @@ def _rest_pairs(similarity: float):
 BROADCAST_NODES = 1_000_000
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _screened(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but for those that the parities of their sets refute: a bound that is never wrong."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            m = batch.column("m_a").to_numpy(zero_copy_only=False) + batch.column("m_b").to_numpy(zero_copy_only=False)
+            keep = [_apart(p, q) <= most * n + 1e-6 for p, q, n in zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), m.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sets.select(F.col("near_row").alias(x), F.col("m").alias(f"m_{x}"), F.col("parity").alias(f"parity_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of which the whole sets of shingles are similar enough."""
+    pairs = shared.written(_screened(pairs, sets, similarity), "near-pairs")
     nodes = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("near_row")).distinct(), "near-nodes")
     some = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     own = shared.written(texts.join(some, "near_row", "left_semi").select("near_row", "text"), "near-texts")
@@ -411,7 +433,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = shared.written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
-    shared.drop(nodes, own)
+    shared.drop(pairs, nodes, own)
+    shared.release(texts.sparkSession)
     return out
 
 
@@ -428,6 +451,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     """
     df = df.drop("near_of", "near_row")
     spark = df.sparkSession
+    shared.release(spark)
     numbered = shared.written(df.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select("near_row", F.col(id_column).cast("long").alias("doc_id"), F.length(whole(text)).alias("n"), whole(text).alias("text"))
     sets = texts.mapInArrow(_shingle_sets(words, similarity, _common(texts, numbered.count(), words)), _SETS)
@@ -437,9 +461,9 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     heads = shared.written(sets.groupBy("h1", "h2").agg(F.min(better)["r"].alias("head")), "heads")
     index = sets.join(heads.select(F.col("head").alias("near_row")), "near_row", "left_semi").select(F.col("near_row").alias("node"), "m", "fp", F.posexplode("keys").alias("pos", "key"))
     found = shared.written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_first_pairs(similarity, screen), "a long, b long, key long, m int, pos int"), "found")
-    spark.sparkContext._jvm.System.gc()  # Spark deletes the index's shuffle files once nothing refers to them
+    shared.release(spark)  # of the index's shuffle
     first = shared.written(found.where("b IS NOT NULL").select("a", "b").distinct(), "first-pairs")
-    near = _verified(first, texts, words, similarity)
+    near = _verified(first, texts, sets, words, similarity)
     parts = shared.written(graph.components(near), "first-parts")
     large = found.where("b IS NULL").join(parts, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("node"), "m", "pos", F.coalesce("component", "a").alias("part"))
     split = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
@@ -447,7 +471,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     rest = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_rest_pairs(similarity), "a long, b long")
     rest = shared.written(rest.distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
     shared.drop(found, first)
-    parts = graph.components(near.unionByName(_verified(rest, texts, words, similarity)))
+    parts = graph.components(near.unionByName(_verified(rest, texts, sets, words, similarity)))
     grouped = sets.select("near_row", "doc_id", "n", "h1", "h2").join(heads, ["h1", "h2"]).join(parts, F.col("head") == F.col("node"), "left")
     grouped = shared.written(grouped.select("near_row", "doc_id", "n", F.coalesce("component", "head").alias("part")), "grouped")
     shared.drop(sets, heads, rest)
