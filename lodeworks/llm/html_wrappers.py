@@ -1,29 +1,32 @@
 """Main text of web pages, by wrappers inferred for each host.
 
-A page is a tree of tags. A wrapper is a union-free regular expression over such trees: an element has a list
-of parts, each of which is an element or a text slot and may be optional or repeated; there are no
-alternatives. It begins as a host's first page and is widened page by page (`widen`): runs of siblings with one
-name become one repeated part, parts that only one side has become optional, differing texts become slots.
-Widening two wrappers is the same operation, so every task widens over its own pages, a host's wrappers are
-widened in two rounds, and a host with a third of all pages never meets in one task.
-
-Each slot gathers how many pages fill it, with how many characters, how many of them in links, and whether they
-are the same on every page. From that and the names of the elements around it, `main_slots` takes the slots
-of the article; `extract` reads them from each page.
+A page is a tree of tags, read as a stream of tokens. A wrapper is a union-free regular expression over such trees:
+an element has parts, each an element or a text slot, in order; parts may be optional or repeated, and parts that
+change places are one repeated group of optional parts; there are no alternatives. Pages are aligned with it one
+after the other: each element of a page meets the part of its name under its parent's part, and widens it: a part
+that some parents lack becomes optional, one that comes twice repeated, neighbours in either order a group, texts
+that differ a slot. All of this is kept as sums, minima and maxima for each part, and as a set of neighbours, so pages
+widen a wrapper in any order alike, in parallel, and a host with a third of all pages never meets in one task.
+
+A page is then matched against its host's wrapper. In an article's element, names alone say what isn't the article.
+Outside, a part is the template's if its text is the same on all pages of a host whose pages differ, and a block or a
+repeated group is left out if most of its text is links.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import free_name, whole
+from .text import whole
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -36,24 +39,36 @@ DROPPED = frozenset("head nav footer aside form script style noscript template s
 #: Words in the class, id or role of an element that holds something other than the article.
 NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising banner banners promo promotion promoted sponsor sponsored sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login search social share sharing sharebar comment comments commentlist respond reply replies disqus related recommended recommendations more widget widgets pagination pager toolbar tags complementary contentinfo skip disclaimer".split())
 ARTICLE = frozenset("article content post entry story main maincontent body articlebody".split())
-#: A host's texts count as part of its template if they are the same on so many pages or more.
-SAME_ON = 10
-#: Elements inside so many others open no further level; their text counts as the last level's.
-DEEPEST = 200
+#: Words in a class that turn its meaning round: no-sidebar, has-sidebar. Those of a header are the article's inside it.
+NEGATING = frozenset("no not non has with without is hide single open".split())
+HEADER = frozenset("header masthead".split())
+#: Elements that a paragraph, an item or a cell never reaches out of.
+BARRIERS = frozenset("ul ol table div section article body".split())
 
 
 def name_of(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role; digits in them don't tell elements apart."""
-    words: list[str] = []
+    """The tag with the tokens of its class, id and role, as words joined by dashes; digits don't tell elements apart."""
+    tokens: list[str] = []
     if "=" in attributes:
         for m in _MARK.finditer(attributes):
-            words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())
-    return tag + ("." + ".".join(words) if words else "")
+            for token in (m[2] or m[3] or m[4] or "").split():
+                tokens.append("-".join(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())))
+    return ".".join([tag, *filter(None, tokens)])
 
 
 def stream(page: str) -> Iterator[tuple[str, str]]:
     """("open", name), ("close", tag), ("void", tag) and ("text", raw) in page order, with end tags implied."""
     open_: list[str] = []
+    times: Counter = Counter()
+
+    def closed(tag: str) -> Iterator[tuple[str, str]]:
+        while True:
+            last = open_.pop()
+            times[last] -= 1
+            yield "close", last
+            if last == tag:
+                return
+
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -63,297 +78,386 @@ def stream(page: str) -> Iterator[tuple[str, str]]:
             continue
         tag = tag.lower()
         if m[2]:
-            if tag in open_:
-                while True:
-                    last = open_.pop()
-                    yield "close", last
-                    if last == tag:
-                        break
+            if times[tag]:
+                yield from closed(tag)
             continue
         if tag in VOID:
             yield "void", tag
             continue
-        ends = "p" if tag in CLOSES_P and "p" in open_ else tag if tag in ("li", "option", "td", "th", "tr", "dd", "dt") and tag in open_[-4:] else ""
-        if ends and not any(t in ("ul", "ol", "table", "div", "section", "article") for t in open_[len(open_) - open_[::-1].index(ends) :]):
-            while True:
-                last = open_.pop()
-                yield "close", last
-                if last == ends:
-                    break
-        if not m[4].endswith("/") and len(open_) < DEEPEST:
+        for ends in ("p",) * (tag in CLOSES_P) + (tag,) * (tag in ("li", "option", "td", "th", "tr", "dd", "dt")):
+            if times[ends]:
+                for t in reversed(open_):
+                    if t == ends:
+                        yield from closed(ends)
+                        break
+                    if t in BARRIERS:
+                        break
+        if m[4].endswith("/"):
+            yield "void", tag
+        else:
             open_.append(tag)
+            times[tag] += 1
             yield "open", name_of(tag, m[4])
-        else:
-            yield "void", tag
     while open_:
         yield "close", open_.pop()
 
 
-# A part is [name, optional, repeated, parts]; a slot is ["#", optional, repeated, [pages, chars, in links, hash or 0]].
-
-
-def tree_of(page: str) -> list:
-    """The page as a wrapper that fits it alone."""
-    root: list = ["", 0, 0, []]
-    path = [root]
-    links = 0
-    for kind, x in stream(page):
-        if kind == "open":
-            links += x == "a" or x.startswith("a.")
-            node = [x, 0, 0, []]
-            path[-1][3].append(node)
-            path.append(node)
-        elif kind == "close":
-            if len(path) > 1:
-                node = path.pop()
-                links -= node[0] == "a" or node[0].startswith("a.")
-        elif kind == "text":
-            text = " ".join(x.split())
-            if text:
-                path[-1][3].append(["#", 0, 0, [1, len(text), len(text) if links else 0, hash_of(text)]])
-    _fold(root)
-    return root
-
-
-def hash_of(text: str) -> int:
-    import zlib
+def _is_marked(name: str, inside: bool) -> bool:
+    """Whether a token of the name says that the element holds something other than the article."""
+    for token in name.split(".")[1:]:
+        words = token.split("-")
+        if not NEGATING.intersection(words) and NOT_ARTICLE.difference(HEADER if inside else ()).intersection(words):
+            return True
+    return False
 
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1
 
-
-def _fold(node: list) -> None:
-    """Siblings in a row with one name become one repeated part."""
-    out: list = []
-    for part in node[3]:
-        if part[0] != "#":
-            _fold(part)
-        if out and out[-1][0] == part[0]:
-            out[-1] = widen(out[-1], part, same_page=True)
-            out[-1][2] = 1
-        else:
-            out.append(part)
-    node[3] = out
-
-
-def widen(a: list, b: list, same_page: bool = False) -> list:
-    """The least part of this kind that covers both; they have one name."""
-    if a[0] == "#":
-        x, y = a[3], b[3]
-        return ["#", a[1] | b[1], a[2] | b[2], [max(x[0], y[0]) if same_page else x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] and not same_page else 0]]
-    return [a[0], a[1] | b[1], a[2] | b[2], _align(a[3], b[3], same_page)]
-
-
-def _align(a: list, b: list, same_page: bool) -> list:
-    if [p[0] for p in a] == [p[0] for p in b]:
-        return [widen(p, q, same_page) for p, q in zip(a, b, strict=True)]
-    # Longest common subsequence of names; the rest is optional on both sides.
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            new = widen(a[i], b[j], same_page)
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            new = [a[i][0], 1, *a[i][2:]]
-            i += 1
-        else:
-            new = [b[j][0], 1, *b[j][2:]]
-            j += 1
-        if out and out[-1][0] == new[0]:  # two optional parts of one name in a row: a repeated one
-            out[-1] = widen(out[-1], new, True)
-            out[-1][2] = 1
-        else:
-            out.append(new)
+def _is_article(name: str) -> bool:
+    tag, *tokens = name.split(".")
+    return tag in ("article", "main") or (tag in ("div", "section", "td") and any(ARTICLE.intersection(t.split("-")) for t in tokens))
+
+
+class Page:
+    """A page's elements, in page order (0 is the root), and its pieces of text: (element, raw), or (-1, "") between
+    blocks. dropped and inside say of each element whether it is left out by name, and lies in an article's element."""
+
+    def __init__(self, page: str):
+        self.names, self.parents, self.pieces = [""], [-1], []
+        stack = [0]
+        for kind, x in stream(page):
+            if kind == "open":
+                if x.split(".", 1)[0] in BLOCKS:
+                    self.pieces.append((-1, ""))
+                self.names.append(x)
+                self.parents.append(stack[-1])
+                stack.append(len(self.names) - 1)
+            elif kind == "close":
+                if x in BLOCKS:
+                    self.pieces.append((-1, ""))
+                stack.pop()
+            elif kind == "text":
+                self.pieces.append((stack[-1], x))
+            elif x in ("br", "hr"):
+                self.pieces.append((stack[-1], "\n"))
+        n = len(self.names)
+        self.tags = [x.split(".", 1)[0] for x in self.names]
+        article = [_is_article(x) for x in self.names]
+        sure = self._above_main(article)
+        self.dropped, self.inside = [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parents[i]
+            marked = i not in sure and self.tags[i] not in ("html", "body", "main") and _is_marked(self.names[i], self.inside[p])
+            self.dropped[i] = self.dropped[p] or self.tags[i] in DROPPED or marked
+            self.inside[i] = self.inside[p] or (article[i] and not self.dropped[i])
+
+    def _above_main(self, article: list[bool]) -> set[int]:
+        """The article's element with the most text, and those around it: these aren't left out by their marks."""
+        size = [0] * len(self.names)
+        for i, raw in self.pieces:
+            if i >= 0:
+                size[i] += len("".join(raw.split()))
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parents[i]] += size[i]
+        best = max((i for i, x in enumerate(article) if x), key=lambda i: (self.tags[i] == "article", size[i], -i), default=0)
+        around = set()
+        while best > 0:
+            around.add(best)
+            best = self.parents[best]
+        return around
+
+    def keys(self) -> list[int]:
+        """The part of the wrapper that each element meets: a hash of its name under its parent's part."""
+        out = [0]
+        for name, p in zip(self.names[1:], self.parents[1:], strict=True):
+            out.append(xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), out[p]))
+        return out
+
+
+def aligned(page: str) -> tuple[dict[int, list], set[tuple[int, int]]]:
+    """What a page adds to its host's wrapper: for each part [name, parent, block, elements, parents that have it, pages
+    with text, characters, those in links, least and greatest hash of the text], and the neighbours (before, after).
+
+    Texts count that are neither left out by name nor in an article's element, a heading of the page or a title.
+    """
+    p = Page(page)
+    keys = p.keys()
+    n = len(keys)
+    block, in_link, in_header = [0] * n, [False] * n, [False] * n
+    parts: dict[int, list] = {0: ["", 0, 0, 1, 1, 0, 0, 0, 0, 0]}
+    last_child, had = [0] * n, set()
+    neighbours: set[tuple[int, int]] = set()
+    for i in range(1, n):
+        up, tag, key = p.parents[i], p.tags[i], keys[i]
+        block[i] = key if tag in BLOCKS else block[up]
+        in_link[i] = in_link[up] or tag == "a"
+        in_header[i] = in_header[up] or tag in ("header", "title")
+        part = parts.setdefault(key, [p.names[i], keys[up], block[i], 0, 0, 0, 0, 0, 0, 0])
+        part[3] += 1
+        if (up, key) not in had:
+            had.add((up, key))
+            part[4] += 1
+        if last_child[up] and last_child[up] != key:
+            neighbours.add((last_child[up], key))
+        last_child[up] = key
+    texts: dict[int, list[str]] = {}
+    for i, raw in p.pieces:
+        if i < 0 or p.dropped[i] or p.inside[i] or in_header[i]:
+            continue
+        text = " ".join(raw.split())
+        if text:
+            part = parts[keys[i]]
+            part[6] += len(text)
+            part[7] += len(text) * in_link[i]
+            texts.setdefault(keys[i], []).append(text)
+    for key, found in texts.items():
+        parts[key][5] = 1
+        parts[key][8] = parts[key][9] = zlib.crc32("\n".join(found).encode("utf-8", "surrogatepass"))
+    return parts, neighbours
+
+
+def widened(a: tuple[dict, set, int], b: tuple[dict, set, int]) -> tuple[dict, set, int]:
+    """Two wrappers (parts, neighbours, pages) as one: in any order and grouping the same."""
+    parts = {k: list(v) for k, v in a[0].items()}
+    for key, v in b[0].items():
+        own = parts.get(key)
+        if own is None:
+            parts[key] = list(v)
+            continue
+        if v[5]:
+            own[8], own[9] = (min(own[8], v[8]), max(own[9], v[9])) if own[5] else (v[8], v[9])
+        for k in range(3, 8):
+            own[k] += v[k]
+    return parts, a[1] | b[1], a[2] + b[2]
+
+
+def groups(parts: dict[int, list], neighbours: set[tuple[int, int]]) -> dict[int, int]:
+    """The group of each part: the least of those that it changes places with, itself at least."""
+    after: dict[int, list[int]] = {}
+    for a, b in neighbours:
+        after.setdefault(a, []).append(b)
+    # Strongly connected parts, by Tarjan's algorithm without recursion.
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    on, stack, out = set(), [], {}
+    for root in sorted(parts):
+        if root in index:
+            continue
+        work = [(root, iter(sorted(after.get(root, ()))))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(sorted(after.get(w, ())))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    at = stack.index(v) if len(stack) < 64 else len(stack) - 1 - stack[::-1].index(v)
+                    members = stack[at:]
+                    del stack[at:]
+                    on.difference_update(members)
+                    out.update(dict.fromkeys(members, min(members)))
     return out
 
 
-def _words(name: str) -> list[str]:
-    return name.split(".")
-
-
-def _kept_by_name(name: str) -> bool:
-    tag, *marks = _words(name)
-    return tag not in DROPPED and not NOT_ARTICLE.intersection(marks)
-
-
-def _is_article(name: str) -> bool:
-    tag, *marks = _words(name)
-    return tag in ("article", "main") or (tag in ("div", "section", "td") and bool(ARTICLE.intersection(marks)))
-
-
-def _block(path: list[str]) -> str:
-    """The path of the innermost block that a slot lies in."""
-    ends = [k for k, name in enumerate(path) if _words(name)[0] in BLOCKS]
-    return "/".join(path[: ends[-1] + 1] if ends else path[:1])
-
-
-def main_slots(wrapper: list, pages: int) -> set[str]:
-    """Paths (names joined by /) of the slots that hold the article: all in any article's element, for the pages
-    that have one, and those for pages without."""
-    slots: list[tuple[str, list[str], list]] = []
-
-    def walk(part: list, path: list[str]) -> None:
-        if part[0] == "#":
-            slots.append(("/".join(path), path, part[3]))
-        elif not path or _kept_by_name(part[0]):
-            for p in part[3]:
-                walk(p, [*path, part[0]])
-
-    walk(wrapper, [])
-    chosen = {key for key, path, _ in slots if any(map(_is_article, path))}
-    # Outside, what is mostly links or the same on every page is the template's; a block's sentences go together.
-    template = lambda s: s[3] and s[0] >= SAME_ON and pages >= SAME_ON
-    blocks: dict[str, list[tuple[str, list]]] = {}
-    for key, path, stats in slots:
-        if key not in chosen and not {"header", "title"} & {_words(n)[0] for n in path}:
-            blocks.setdefault(_block(path), []).append((key, stats))
-    for own in blocks.values():
-        if sum(s[2] for _, s in own) < 0.5 * sum(s[1] for _, s in own) and not all(template(s) for _, s in own):
-            chosen.update(key for key, _ in own)
-    return chosen
-
-
-def extract(page: str, slots: set[str] | None) -> str:
-    """The text of a page's main slots (all that isn't dropped by name, if the host has none): blocks in page
-    order, joined by line ends. If any of it is in an article's element, only what is."""
+def expression(parts: dict[int, list], neighbours: set[tuple[int, int]], pages: int) -> str:
+    """A small wrapper as text: names with their parts in brackets, ? optional, + repeated, # a slot, (...)+ a group."""
+    group = groups(parts, neighbours)
+    children: dict[int, list[int]] = {}
+    for key, v in parts.items():
+        if key:
+            children.setdefault(v[1], []).append(key)
+    before = {(group[a], group[b]) for a, b in neighbours if group[a] != group[b]}
+
+    def one(key: int, count: int) -> str:
+        v = parts[key]
+        inner = [*(["#"] if v[5] else []), *ordered(key)]
+        return v[0] + (f"[{' '.join(inner)}]" if inner else "") + "?" * (v[4] < count) + "+" * (v[3] > v[4])
+
+    def ordered(key: int) -> list[str]:
+        left = {}
+        for k in children.get(key, ()):
+            left.setdefault(group[k], []).append(k)
+        out = []
+        while left:
+            ready = [g for g in left if not any((h, g) in before for h in left if h != g)]
+            g = min(ready or left, key=lambda g: min(parts[k][0] for k in left[g]))
+            members = sorted(left.pop(g), key=lambda k: parts[k][0])
+            texts = [one(k, parts[key][3] if key else pages) for k in members]
+            out.append(texts[0] if len(texts) == 1 else f"({' '.join(texts)})+")
+        return out
+
+    return " ".join(ordered(0))
+
+
+def kept_parts(parts: dict[int, list], neighbours: set[tuple[int, int]], pages: int) -> list[int]:
+    """The parts outside articles whose text is main text: of blocks, and of groups of blocks that change places, in
+    which at most half is links and not all is the template's."""
+    varies = any(v[8] != v[9] for v in parts.values())
+    group = groups(parts, neighbours)
+    template = lambda v: varies and v[5] == pages and v[8] == v[9]
+    units: dict[int, list[int]] = {}
+    for key, v in parts.items():
+        if v[6]:
+            units.setdefault(group[v[2]], []).append(key)
+    out = []
+    for own in units.values():
+        chars, links = (sum(parts[k][i] for k in own) for i in (6, 7))
+        if 2 * links < chars and not all(template(parts[k]) for k in own):
+            out += own
+    return sorted(out)
+
+
+def extract(page: str, kept: set[int] | None) -> str:
+    """The text of a page, matched against its host's wrapper: blocks in page order, joined by line ends. If any of it
+    is in an article's element, only what is; else that of the parts in kept (all, if that is None)."""
+    p = Page(page)
+    keys = p.keys() if kept is not None and not any(p.inside) else None
     blocks: tuple[list[str], list[str]] = ([], [])  # outside and in an article's element
     now: tuple[list[str], list[str]] = ([], [])
-    path: list[str] = [""]
-    dropped = inside = 0
 
     def end() -> None:
-        for parts, out in zip(now, blocks, strict=True):
-            text = " ".join("".join(parts).split())
+        for some, out in zip(now, blocks, strict=True):
+            text = " ".join("".join(some).split())
             if text:
                 out.append(text)
-            parts.clear()
-
-    keys = [""]
-    for kind, x in stream(page):
-        if kind == "open":
-            if x.split(".")[0] in BLOCKS:
-                end()
-            path.append(x)
-            keys.append(keys[-1] + "/" + x)
-            dropped += not _kept_by_name(x)
-            inside += _is_article(x)
-        elif kind == "close":
-            if x in BLOCKS:
-                end()
-            if len(path) > 1:
-                name = path.pop()
-                dropped -= not _kept_by_name(name)
-                inside -= _is_article(name)
-                keys.pop()
-        elif kind == "void":
-            if x in ("br", "hr"):
-                now[inside > 0].append("\n")
-        elif not dropped and (slots is None or keys[-1] in slots):
-            now[inside > 0].append(html.unescape(x))
+            some.clear()
+
+    for i, raw in p.pieces:
+        if i < 0:
+            end()
+        elif raw == "\n":
+            now[p.inside[i]].append(raw)
+        elif not p.dropped[i] and (p.inside[i] or keys is None or keys[i] in kept):
+            now[p.inside[i]].append(html.unescape(raw))
     end()
     return "\n".join(blocks[1] or blocks[0])
 
 
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host of a task's pages."""
-    found: dict[str, list] = {}
-    for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            tree = tree_of(page.as_py())
-            if host in found:
-                w, n = found[host]
-                found[host] = [widen(w, tree), n + 1]
-            else:
-                found[host] = [tree, 1]
-        if len(found) > 5000:
-            yield _packed(found)
-            found = {}
-    yield _packed(found)
+_PARTS = pa.schema([("host", pa.string()), ("key", pa.int64()), ("to", pa.int64()), ("name", pa.string()), ("parent", pa.int64()), ("block", pa.int64()), *((c, pa.int64()) for c in ("elements", "parents", "texts", "chars", "links", "low", "high", "pages"))])
+_SUMS = ("elements", "parents", "texts", "chars", "links", "pages")
 
 
-def _packed(found: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, separators=(",", ":")) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())], names=["host", "wrapper", "pages"])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Widens the wrappers of a host, which come one after the other; holds one wrapper at a time."""
-    now: str | None = None
-    held: list = []
+def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrappers of a task's pages, one row for each part (to is null) and for each pair of neighbours."""
+    found: dict[str, tuple[dict, set, int]] = {}
+    size = 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for host, (parts, neighbours, pages) in found.items():
+            for key, (name, parent, block, elements, parents, texts, chars, links, low, high) in parts.items():
+                rows.append((host, _signed(key), None, name, _signed(parent), _signed(block), elements, parents, texts, chars, links, low if texts else None, high if texts else None, pages if not key else 0))
+            rows += [(host, _signed(a), _signed(b), None, None, None, 0, 0, 0, 0, 0, None, None, 0) for a, b in neighbours]
+        found.clear()
+        for i in range(0, len(rows), 50_000):
+            cols = zip(*rows[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PARTS.types, strict=True)], schema=_PARTS)
+
     for batch in batches:
-        out: list[tuple] = []
-        for host, raw, pages in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages")), strict=True):
-            if held and host == now:
-                held = [widen(held[0], json.loads(raw)), held[1] + pages]
-                continue
-            if held:
-                out.append((now, held))
-            now, held = host, [json.loads(raw), pages]
-        if out:
-            yield _packed(dict(out))
-    if held:
-        yield _packed({now: held})
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            own = (*aligned(page.as_py()), 1)
+            size += len(own[0])
+            found[host] = _into(found[host], own) if host in found else own
+            if size > 1_000_000:
+                yield from packed()
+                size = 0
+    yield from packed()
+
+
+def _into(a: tuple[dict, set, int], b: tuple[dict, set, int]) -> tuple[dict, set, int]:
+    """widened, in place."""
+    for key, v in b[0].items():
+        own = a[0].get(key)
+        if own is None:
+            a[0][key] = v
+            continue
+        if v[5]:
+            own[8], own[9] = (min(own[8], v[8]), max(own[9], v[9])) if own[5] else (v[8], v[9])
+        for k in range(3, 8):
+            own[k] += v[k]
+    a[1].update(b[1])
+    return a[0], a[1], a[2] + b[2]
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
-_DDL = "host string, wrapper string, pages long"
-#: Tables of slots up to this size are broadcast; larger ones are joined.
+#: Tables of kept parts up to this size are broadcast; larger ones are joined, salted.
 BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages) from (host, html)."""
-    first = pages.select("host", "html").mapInArrow(_infer, _DDL)
-    salted = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = salted.repartition("host", "salt").sortWithinPartitions("host").select("host", "wrapper", "pages").mapInArrow(_merge, _DDL)
-    return some.repartition("host").sortWithinPartitions("host").mapInArrow(_merge, _DDL)
+    """(host, key, to, name, parent, block, sums, low, high) from (host, html): the parts of each host's wrapper, and its
+    neighbours (with to)."""
+    ddl = "host string, key long, to long, name string, parent long, block long, elements long, parents long, texts long, chars long, links long, low long, high long, pages long"
+    rows = pages.select("host", "html").mapInArrow(_infer, ddl)
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    return rows.groupBy("host", "key", "to").agg(F.min("name").alias("name"), F.min("parent").alias("parent"), F.min("block").alias("block"), *sums, F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, pages = batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist()
-        slots = [sorted(main_slots(json.loads(w), n)) for w, n in zip(raw, pages, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.list_(pa.string()))], names=["host", "slots"])
+        out = []
+        for rows in batch.column("rows").to_pylist():
+            parts = {r["key"]: [r["name"], r["parent"], r["block"], *(r[c] for c in ("elements", "parents", "texts", "chars", "links")), r["low"] or 0, r["high"] or 0] for r in rows if r["to"] is None}
+            neighbours = {(r["key"], r["to"]) for r in rows if r["to"] is not None}
+            out.append(kept_parts(parts, neighbours, sum(r["pages"] for r in rows)))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int64()))], names=["host", "slots"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, set[str]] = {}
+    known: dict[str, set[int] | None] = {}
     for batch in batches:
         out: list[str] = []
-        for page, slots in zip(batch.column("html"), batch.column("slots"), strict=True):
-            key = tuple(slots.as_py() or ())
-            if len(known) > 5000:
-                known.clear()
-            chosen = known.setdefault(key, set(key))
-            out.append(extract(page.as_py(), chosen or None))
-        keep = [c for c in batch.schema.names if c not in ("html", "slots")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "text"])
+        for host, page, slots in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("slots"), strict=True):
+            if host not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[host] = {x & (1 << 64) - 1 for x in slots.as_py() or ()} or None
+            out.append(extract(page.as_py(), known[host]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string())], names=["doc", "text"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages (url and html are read) without html, with text: the article of each page, empty if none.
 
     The host is what the url has between :// and the next slash (null and other urls share the host ""). A
-    null html is an empty page. Repeated rows widen a wrapper no further. Pages of a host whose wrapper has no
-    chosen slot give all text that isn't excluded by name. A column named text is replaced; host is not kept.
+    null html is an empty page. Equal pages are read alike, and tell no more of a template than one. Elements of any
+    depth are read. Pages without an article's element, of a host whose wrapper keeps no part, give all text that isn't
+    excluded by name. A column named text is replaced; all others stay, whatever their names. No pages give no rows.
     """
     from . import shared
 
     pages = pages.drop("text")
     keep = [c for c in pages.columns if c != "html"]
-    host = free_name(pages, "_host")
-    own = pages.select(*keep, whole("html").alias("html"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias(host))
-    slots = shared.written(wrappers(own.select(F.col(host).alias("host"), "html")).mapInArrow(_decide, "host string, slots array<string>"), "slots")
-    size = slots.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "slots")))).first()[0] or 0
-    side = slots.select(F.col("host").alias(host), "slots")
-    joined = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, host, "left").drop(host)
-    fields = [f for f in joined.schema.fields if f.name not in ("html", "slots")]
-    kind = type(joined.schema)(fields).add("text", "string")
-    return joined.mapInArrow(_read, kind)
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    # Other columns travel as one, so that no name of theirs meets ours.
+    own = pages.select(host.alias("host"), whole("html").alias("html"), F.struct(*keep).alias("doc"))
+    row = F.struct("key", "to", "name", "parent", "block", *_SUMS, "low", "high")
+    # As many rows for a host as its wrapper has parts and neighbours, however many pages it has.
+    slots = wrappers(own).groupBy("host").agg(F.collect_list(row).alias("rows")).mapInArrow(_decide, "host string, slots array<long>")
+    slots = shared.written(slots, "slots")
+    size = slots.agg(F.sum(F.length("host") + 8 * F.size("slots"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = own.join(F.broadcast(slots), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")
+        many = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("salt", salt).join(many, ["host", "salt"], "left").drop("salt")
+    kind = own.select("doc").schema.add("text", "string")
+    return joined.select("host", "html", "slots", "doc").mapInArrow(_read, kind).select(*[F.col("doc")[c].alias(c) for c in keep], "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
