@@ -3,12 +3,13 @@
 1. Each task of the scan chains the texts of its own split: rows whose key and bytes are equal fold into one
    entry with their best row and their number. The entries (with their bytes) and one small row for each
    document are written to the shared folder. However hot a text is, it reaches the index once for each task.
-2. The directory: the entries are counted by the first bits of their keys (at most 2 ** MAX_DEPTH counts,
+2. Keys are counted, without bytes. An entry alone with its key is its own group; the others go to the index.
+3. The directory: their entries are counted by the first bits of their keys (at most 2 ** MAX_DEPTH counts,
    whatever the input), and the directory doubles until no bucket holds more than `bucket_entries`, or its
    bits are used up.
-3. Owner tasks take whole buckets, which are ranges of keys, in key order. Entries with one key form a chain;
+4. Each owner task takes a bucket, which is a range of keys, in key order. Entries with one key form a chain;
    their bytes are compared, so texts that only share a key stay apart.
-4. Each document's row then meets the verdict on its entry.
+5. Each document's row then meets the verdict on its entry.
 
 A task holds the chain of one key, or what its own split has gathered up to `split_bytes` (what is beyond
 that is flushed, which costs another entry, never a wrong result).
@@ -27,6 +28,8 @@ from . import shared
 from .text import free_name, squeezed, whole
 
 MAX_DEPTH = 16
+#: Keys of several entries are broadcast up to this number (8 bytes each); more are joined.
+BROADCAST_KEYS = 1_000_000
 LAST = 2**63 - 1  # stands for a null doc_id: it comes last in ties
 
 _PARTS = pa.schema([("entry", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("key", pa.int64()), ("n_chars", pa.int64()), ("rows", pa.int64()), ("body", pa.binary()), ("is_entry", pa.bool_())])
@@ -84,9 +87,10 @@ def _chain_split(split_bytes: int):
     return run
 
 
-def directory(counts: dict[int, int], depth: int, bucket_entries: int) -> list[tuple[int, int]]:
+def directory(counts: dict[int, int], depth: int, bucket_entries: int, least: int = 0) -> list[tuple[int, int]]:
     """Extendible hashing over counts of entries by their first `depth` bits: a list of (first prefix, local
-    depth) of the buckets, in order. A bucket that holds too many splits in two by its next bit."""
+    depth) of the buckets, in order. A bucket that holds too many splits in two by its next bit; none is less deep
+    than `least`."""
     out, todo = [], [(0, 0)]
     total = [0]
     for p in range(1 << depth):
@@ -94,7 +98,7 @@ def directory(counts: dict[int, int], depth: int, bucket_entries: int) -> list[t
     while todo:
         first, local = todo.pop()
         width = 1 << (depth - local)
-        if local < depth and total[first + width] - total[first] > bucket_entries:
+        if local < depth and (local < least or total[first + width] - total[first] > bucket_entries):
             todo += [(first + width // 2, local + 1), (first, local + 1)]
         else:
             out.append((first, local))
@@ -137,14 +141,14 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 100_000, split_bytes: int = 128 << 20, row: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
+def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bits: int = 64, bucket_entries: int = 20_000, split_bytes: int = 128 << 20, row: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
     """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256, uid (the column `row` of df,
     if it is named, else a number of our own).
 
     Texts are equal when identical after all white space is deleted; null counts as empty, and all empty texts
     are equal. The row with the most code points stays, then the smallest doc_id (null last); of repeated rows
     with one doc_id, exactly one stays. Other columns of df don't matter. An empty df gives no rows.
-    made, if given, gets the shared table that the result reads. key_bits shortens the keys, which only tests need: it makes different texts share a chain.
+    made, if given, gets the shared tables that the result reads. key_bits shortens the keys, which only tests need: it makes different texts share a chain.
     """
     spark = df.sparkSession
     body = squeezed(whole(text))
@@ -155,21 +159,25 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", key_bit
     docs = docs.withColumn("key", F.shiftright(high, max(0, 60 - key_bits)))
     bits = min(60, key_bits)
     parts = shared.written(docs.mapInArrow(_chain_split(split_bytes), _PARTS_DDL), "hash-index", ("is_entry",))
-    if made is not None:
-        made.append(parts)
-
     entries = parts.where("is_entry").drop("is_entry", "sha")
+    several = shared.written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hash-keys")
+    if made is not None:
+        made += [parts, several]
+    few = several.count() <= BROADCAST_KEYS
+    met = F.broadcast(several.select("key")) if few else several.select("key")
     depth = min(MAX_DEPTH, bits)
     prefix = F.shiftright("key", bits - depth).cast("int")
-    counted = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).count().collect()}  # at most 2 ** MAX_DEPTH rows
-    buckets = directory(counted, depth, bucket_entries)
+    counted = {r[0]: r[1] for r in several.groupBy(prefix.alias("p")).agg(F.sum("n")).collect()}  # at most 2 ** MAX_DEPTH rows
+    # As many buckets as there are to be tasks, at least.
+    least = min(depth, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    buckets = directory(counted, depth, bucket_entries, least)
     spans = [(p, i) for i, (first, local) in enumerate(buckets) for p in range(first, first + (1 << depth - local))]
     starts = spark.createDataFrame(spans, "prefix int, bucket int")  # 2 ** MAX_DEPTH rows at most
-    owners = max(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = entries.withColumn("prefix", prefix).join(F.broadcast(starts), "prefix").drop("prefix")
-    # Small buckets are dealt on by a further part of their key, so that every core owns some keys.
-    dealt = dealt.repartition(owners, "bucket", F.pmod(F.xxhash64("key"), F.lit(64))).sortWithinPartitions("key")
+    dealt = entries.join(met, "key", "left_semi").withColumn("prefix", prefix).join(F.broadcast(starts), "prefix").drop("prefix")
+    dealt = dealt.repartitionById(len(buckets), F.col("bucket")).sortWithinPartitions("key")
     found = dealt.select("key", "entry", "n_chars", "doc_id", "uid", "rows", "body").mapInArrow(_own, "entry long, keep_uid long, keep_id long, group_size long")
+    alone = entries.join(met, "key", "left_anti").select("entry", F.col("uid").alias("keep_uid"), F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
+    found = found.unionByName(alone)
     members = parts.where("NOT is_entry").select("entry", "uid", "doc_id", "sha")
     return members.join(found, "entry").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"), "uid")
 

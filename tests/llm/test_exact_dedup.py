@@ -27,6 +27,7 @@ def test_groups_match_brute_force(docs, key_bits, bucket):
 def test_directory_doubles_only_where_full():
     assert exact_dedup.directory({0: 5, 1: 5}, 2, 100) == [(0, 0)]
     assert exact_dedup.directory({0: 60, 1: 60, 2: 1}, 2, 100) == [(0, 2), (1, 2), (2, 1)]
+    assert exact_dedup.directory({}, 2, 100, least=1) == [(0, 1), (2, 1)]
     assert exact_dedup.directory({0: 900}, 2, 100) == [(0, 2), (1, 2), (2, 1)]
 
 
@@ -37,3 +38,9 @@ def test_empty(no_docs):
 def test_keep_one_keeps_columns(docs):
     out = exact_dedup.keep_one(docs)
     assert out.columns == docs.columns and out.count() == 5
+
+
+def test_join_beyond_the_broadcast_bound(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+    rows = exact_dedup.groups(docs.repartition(3)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows) == brute([(r.doc_id, r.text) for r in docs.collect()])
