@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long): component is its smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change; then every node hangs on its
-    component's smallest. Each step is an aggregate and a join, written to the shared folder, so a hub's edges
-    are spread over tasks and a lost executor costs one step. No edges give no rows; loops are ignored.
+    component's smallest. Each step is an aggregate and a join, written to the shared folder, so a lost executor
+    costs one step. A hub's edges meet in one partition of a join, which adaptive execution splits where it is large. No edges give no rows; loops are ignored.
     """
     now = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = _digest(now)

@@ -197,7 +197,8 @@ def score(documents: DataFrame, labels: DataFrame, train: Column | None = None,
     two parts of three give the scores of words, the third the calibration; of more than most_labels labels a
     hashed sample of about that size is taken. Labels other than 0 and 1, or of
     documents that aren't there, are left out. A null text is empty; an empty text has no evidence and scores
-    as the curve has it at none. Without labels of both kinds every text scores 0.
+    as the curve has it at none. Without labels of both kinds every text scores 0. Other columns of either table
+    don't matter, whatever their names. No documents give no rows.
     """
     spark = documents.sparkSession
     train = fold(F.col("doc_id"), 4) != 2 if train is None else train
@@ -208,8 +209,8 @@ def score(documents: DataFrame, labels: DataFrame, train: Column | None = None,
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_labels / n))
     known = shared.written(known.withColumn("part", fold(F.concat(F.lit("part"), F.col("doc_id").cast("string")), 3)), "labels")
     base = documents.select("doc_id", whole(text).alias("text"))
-    # The texts stay where they are: the ids of at most about most_labels rows go to them.
-    taught = base.join(F.broadcast(known), "doc_id")
+    # The texts stay where they are: the ids of at most about most_labels rows go to them. What they pick is read often.
+    taught = shared.written(base.join(F.broadcast(known), "doc_id").select("text", "toxic", "part"), "taught")
     first = taught.where("part <> 2").select("text", "toxic")
     sizes = {r[0]: r[1] for r in first.groupBy("toxic").count().collect()}  # two rows
     # Not more rows than cells.
@@ -224,6 +225,7 @@ def score(documents: DataFrame, labels: DataFrame, train: Column | None = None,
     bins = tried.groupBy("bin").agg(F.avg(F.log1p("evidence")), F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()  # 401 rows at most
     bad, good = (sum(b[i] for b in bins) for i in (2, 3))
     slope, intercept = fit_logistic([tuple(b)[1:] for b in bins]) if bad and good else (0.0, -40.0)
+    shared.drop(taught, known)
     out = base.mapInArrow(_measured(sent, gumbel), f"doc_id {dict(base.dtypes)['doc_id']}, {_EXTRA}")
     chance = 1 / (1 + F.exp(-(F.log1p("evidence") * slope + intercept)))
     return out.withColumn("score", chance).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -62,3 +62,20 @@ def test_hard_inputs(docs, no_docs):
     assert out[3].ids == [] and out[3].decoded == "" and out[6].decoded == out[6].text
     assert out[5].decoded == " \n\t" and out[2].entry == "x"
     assert sp.encode(no_docs).count() == 0
+
+
+def test_query_matches_single_texts(spark, tmp_path, codec):
+    texts = ["Hello  world", "", None, " lead", "tab\there\n\nnew ▁ mark", "日本 🙂" * 50, "x" * 30_000, "Hello  world", "слово " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in sp.query(spark, str(tmp_path)).collect():
+        ids, score = codec.encode(texts[r.doc_id] or "")
+        assert r.ids == ids and r.log_score == pytest.approx(score) and r.same and r.n_ids == len(ids)
+        assert codec.decode(ids) == (texts[r.doc_id] or "")
+
+
+def test_runs_together_and_alone_are_the_same(codec):
+    rng = random.Random(3)
+    runs = [(" " * rng.randint(0, 2) + "".join(rng.choice("abcdeéßя日🙂.1") for _ in range(rng.randint(1, 14)))).encode() for _ in range(500)]
+    for got, run in zip(codec.viterbi_many(runs), runs):
+        ids, score = codec.viterbi(run)
+        assert got == (ids, pytest.approx(score))

@@ -60,3 +60,24 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert tx.score(docs, none).first().predicted == 0
     assert tx.score(docs.limit(0), none).count() == 0
+
+
+def test_held_out_accuracy(spark, tmp_path):
+    """The registered query, on made texts: labels are learnt from the rows that aren't held out, and the others are judged."""
+    rng = random.Random(5)
+    mild, vile = [f"calm{i}" for i in range(300)], [f"vile{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(mild) for _ in range(rng.randint(20, 80))]
+        if i % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(vile) for _ in range(8)]
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 3 == 0)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = tx.query(spark, str(tmp_path)).collect()
+    held = [r for r in out if r.held_out]
+    assert len(out) == 600 and 100 < len(held) < 200
+    assert sum((r.doc_id % 3 == 0) == r.predicted for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
