@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import graph, shared
-from .text import whole
+from .text import portions, whole
 
 SEED = 42
 #: Buckets up to this size compare all members; beyond, the work per member is bounded (see _bucket_links).
@@ -206,7 +206,7 @@ def _shingle_sets(words: int, similarity: float, common: tuple[np.ndarray, np.nd
     values, ranks = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole_batch.slice(*at) for whole_batch in batches for at in portions(whole_batch.column("text"))):
             digests, m, fps, parities, keys = [], [], [], [], []
             for text in batch.column("text"):
                 h = np.unique(shingle_hashes(text.as_py(), words))
@@ -235,8 +235,9 @@ def _common(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["h"])
+            for at, n in portions(batch.column("text")):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text").slice(at, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     some = texts.where(F.pmod(F.xxhash64("near_row"), F.lit(max(1, rows // SAMPLE))) == 0)
     counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= 8)
