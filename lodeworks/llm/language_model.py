@@ -13,10 +13,11 @@ log(1 + count(u, w) / (MASS * P1(w))). For a w that isn't frequent the filter ho
 above there. So the probabilities after a word sum to 1 at most (but for false positives, about one in 100 absent
 pairs, read as 1).
 
-The filter is cut into slices by hash, each built by one task from the counts that fall in it, as many as the
-corpus asks for (SLICE_KEYS tokens each). A token's pair and its word lie in one slice, so the parts of a score
-add up over slices, whichever of them a pass holds: slices are broadcast in rounds of `round_bytes`, one round if
-they fit. Nothing is left out at any size.
+The filter is cut into slices by hash, as many as the corpus asks for (SLICE_KEYS tokens each), and each stays in the
+one task that builds it: the keys go to their slices. A portion of texts (`round_bytes` of them) sends each slice its
+distinct keys with how often texts that are learnt from have them; the slice is built from the counts of all portions,
+looks each key up, and the levels go back to the portions. So texts are read twice (words, then keys), whatever
+the size of the filter, and nothing is left out at any size.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +44,10 @@ WORD_SHARE = 2_000_000
 BASE, MASS = 1.5, 3000.0
 BITS_EACH, PROBES = 10, 4
 #: Slices at least, and training tokens for each slice beyond.
-SLICES, SLICE_KEYS = 64, 1 << 22
-#: Bytes of the filter that are broadcast at once.
-ROUND_BYTES = 128 << 20
-FLUSH, PAIRS_FLUSH = 1 << 18, 1 << 22
-#: Bytes of the filter that come to the driver at a time.
-FETCH = 16 << 20
+SLICES, SLICE_KEYS = 64, 1 << 21
+#: Bytes of text (or one text) whose keys go to their slices at once.
+ROUND_BYTES = 4 << 20
+FLUSH = 1 << 18
 #: Words that a task keeps numbered; when full it starts afresh.
 NUMBERED = 1 << 18
 
@@ -116,17 +116,6 @@ class Vocabulary:
         self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
         return out
 
-    def pairs(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """The keys of tokens with what stands before them; firsts are the places where texts begin."""
-        own = self.hashes[ids]
-        before = np.empty(len(own), np.uint64)
-        before[1:] = own[:-1]
-        before[firsts] = 0
-        with np.errstate(over="ignore"):
-            pair = _mixed(_mixed(before) * np.uint64(3) + own)
-        # The upper bits say the slice: by the pair if its word is frequent, else by the word.
-        return np.where(ids < self.n_frequent, pair, _mixed(own) & UPPER | pair & ~UPPER)
-
 
 class Numbers(dict):
     """Numbers words in the order in which they first come, after those that are given."""
@@ -150,15 +139,22 @@ def slices(key: np.ndarray, n_slices: int) -> np.ndarray:
     return ((key >> np.uint64(64 - SLICE_BITS)) * np.uint64(n_slices) >> np.uint64(SLICE_BITS)).astype(np.int64)
 
 
-def slice_column(key: str, n_slices: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 64 - SLICE_BITS) * F.lit(n_slices).cast("long"), SLICE_BITS).cast("int")
-
-
 def word_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of words alone, in the slices of their pairs."""
     return _mixed(hashes) & UPPER | _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) & ~UPPER
 
 
+def pairs(hashes: np.ndarray, frequent: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The keys of tokens with what stands before them; firsts are the places where texts begin."""
+    before = np.empty(len(hashes), np.uint64)
+    before[1:] = hashes[:-1]
+    before[firsts] = 0
+    with np.errstate(over="ignore"):
+        pair = _mixed(_mixed(before) * np.uint64(3) + hashes)
+    # The upper bits say the slice: by the pair if its word is frequent, else by the word.
+    return np.where(frequent, pair, _mixed(hashes) & UPPER | pair & ~UPPER)
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, a place of each, and the number of each place's key among them."""
     order = np.argsort(key)
@@ -169,36 +165,64 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], where
 
 
-def _firsts(texts: list[list[bytes]]) -> np.ndarray:
-    ends = np.cumsum([len(t) for t in texts])
-    return np.concatenate(([0], ends[:-1]))
+def _keys(hashes: np.ndarray, frequent: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of texts of these lengths in order, which is that of slices; and the number among them of each
+    token's pair, then of each word that isn't frequent."""
+    firsts = np.cumsum(lengths) - lengths
+    key, _, where = _distinct(np.concatenate((pairs(hashes, frequent, firsts), word_keys(hashes[~frequent]))))
+    return key, where
 
 
-def _count_keys(sent):
-    """(key, c): the counts of pairs, and of words that aren't frequent, of each task."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, which compress better: sorted keys by a third."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*sent.value)
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush():
-            key = np.concatenate(held or [np.zeros(0, np.uint64)])
-            held.clear()
-            key, c = np.unique(key, return_counts=True)
-            for i in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000].view(np.int64)), pa.array(c[i : i + 200_000].astype(np.int32))], names=["key", "c"])
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-        for batch in batches:
-            for at, rows in portions(batch.column("text")):
-                texts = _tokens(batch.column("text").slice(at, rows))
-                ids = vocabulary.numbers(texts)
-                held += [vocabulary.pairs(ids, _firsts(texts)), word_keys(vocabulary.hashes[ids[ids >= vocabulary.n_frequent]])]
-                size += len(held[-1]) + len(held[-2])
-                if size > PAIRS_FLUSH:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+
+#: What portions (by the row number of their first text) tell slices, and slices them, packed. To a slice: keys, and their
+#: counts in the texts that are learnt from; from it: levels, in the order of the keys. What a portion keeps of its
+#: texts for their scores has no slice: their ids and lengths, the numbers of their words, and the names of those that
+#: aren't frequent, which are numbered after those that are.
+_TOLD = "portion long, slice int, keys binary, counts binary, levels binary, doc_id array<long>, lengths binary, words binary, names array<string>"
+_TYPES = pa.schema([("portion", pa.int64()), ("slice", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "levels")), ("doc_id", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary()), ("names", pa.list_(pa.string()))])
+
+
+def _told(n: int, **columns) -> pa.RecordBatch:
+    """n rows of _TOLD, null in all columns that aren't given."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _TYPES], schema=_TYPES)
+
+
+def _ask(sent, round_bytes: int):
+    """Of each portion of texts what it tells the slices, and what it keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(*sent.value)
+        for whole_batch in batches:
+            for first, rows in portions(whole_batch.column("text"), round_bytes):
+                batch = whole_batch.slice(first, rows)
+                texts = _tokens(batch.column("text"))
+                ids, lengths = vocabulary.numbers(texts), np.array([len(t) for t in texts], np.int32)
+                del texts
+                frequent = ids < vocabulary.n_frequent
+                key, where = _keys(vocabulary.hashes[ids], frequent, lengths)
+                taught = np.repeat(batch.column("taught").to_numpy(zero_copy_only=False), lengths)
+                counts = np.bincount(where[np.concatenate((taught, taught[~frequent]))], minlength=len(key)).astype(np.int32)
+                others, number = np.unique(ids[~frequent], return_inverse=True)
+                names = pa.array([vocabulary.number.names[i] for i in others.tolist()], pa.binary()).cast(pa.string())
+                ids[~frequent] = vocabulary.n_frequent + number
+                portion = batch.column("row")[0].as_py()
+                yield _told(1, portion=[portion], doc_id=[batch.column("doc_id").to_pylist()], lengths=[_packed(lengths)], words=[_packed(ids.astype(np.int32))], names=[names])
+                own = slices(key, vocabulary.n_slices)
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)])).tolist()
+                for i in range(0, len(starts) - 1, 1024):
+                    cuts = [slice(*x) for x in pairwise(starts[i : i + 1025])]
+                    yield _told(len(cuts), portion=[portion] * len(cuts), slice=[own[x.start] for x in cuts], keys=[_packed(key[x]) for x in cuts], counts=[_packed(counts[x]) for x in cuts])
 
     return run
 
@@ -262,137 +286,104 @@ class Filter:
 LEAST_BITS = 1 << 12
 
 
-def _build(n_slices: int):
-    """Each task's slices (one, unless there are fewer tasks than slices): (slice, raw)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("c").to_numpy(zero_copy_only=False)) for batch in batches]
-        if not held:
-            return
-        key, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        key, _, where = _distinct(key)
-        c = np.bincount(where, weights=c, minlength=len(key))
-        starts = np.searchsorted(slices(key, n_slices), np.arange(n_slices + 1))  # keys are in the order of slices
-        for s in np.flatnonzero(np.diff(starts)).tolist():
-            raw = Filter.build(key[starts[s] : starts[s + 1]], c[starts[s] : starts[s + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "raw"])
-
-    return run
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Builds each task's slices of the filter (one, unless there are fewer tasks) and looks up what portions ask.
+    What portions keep passes through."""
+    asked: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for batch in batches:
+        keeps = batch.column("slice").is_null()
+        yield batch.filter(keeps)
+        for r in batch.filter(pc.invert(keeps)).select(["portion", "slice", "keys", "counts"]).to_pylist():
+            asked.setdefault(r["slice"], []).append((r["portion"], r["keys"], r["counts"]))
+    for s in sorted(asked):
+        portion, keys, counts = zip(*asked.pop(s), strict=True)
+        keys = [_unpacked(x, np.uint64) for x in keys]
+        ends = np.cumsum([0, *(len(x) for x in keys)]).tolist()
+        key, _, where = _distinct(np.concatenate(keys))
+        del keys
+        c = np.bincount(where, weights=np.concatenate([_unpacked(x, np.int32) for x in counts]), minlength=len(key))
+        raw = Filter.build(key[c > 0], c[c > 0])
+        levels = Filter(1, [(0, len(raw))], raw).level(key, np.zeros(len(key), np.int64)).astype(np.uint8)[where]
+        yield _told(len(portion), portion=portion, slice=[s] * len(portion), levels=[_packed(levels[i:j]) for i, j in pairwise(ends)])
 
 
 _PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base_part double, score_part double, others array<string>, times array<long>"
 
 
-def _score(sent_words, sent_filter, first_round: bool):
-    """The parts of each row's scores that the slices of a round give; what doesn't depend on slices is the first's.
-    others are words that aren't frequent and may have been seen (the filter has them), with their numbers."""
+def _score(sent_words):
+    """The parts of each row's scores that don't depend on exact counts of words that aren't frequent. others are such
+    words that may have been seen (the filter has them), with their numbers."""
+
+    def scored(words: Vocabulary, portion: int, kept: dict, told: dict[int, bytes]) -> pa.RecordBatch:
+        levels = np.concatenate([_unpacked(told[s], np.uint8) for s in sorted(told)])
+        ids, lengths = _unpacked(kept["words"], np.int32), _unpacked(kept["lengths"], np.int32)
+        frequent = ids < words.n_frequent
+        names = np.array([xxhash.xxh64_intdigest(w.encode()) for w in kept["names"]], np.uint64)
+        _, where = _keys(np.concatenate((words.hashes, names))[ids], frequent, lengths)
+        most = np.empty(len(ids))  # the word's count, or a bound above it
+        most[frequent] = words.count[ids[frequent]]
+        most[~frequent] = STEPS[levels[where[len(ids) :]].astype(np.int64) + 1] - 1
+        count = np.minimum(STEPS[levels[where[: len(ids)]]], most)
+        p1 = (most + 0.5) / words.whole
+        # Of words alone: here those of frequent ones, and of words that the filter says were never seen.
+        told_here = frequent | (most == 0)
+        base = np.where(told_here, np.log10(p1), 0.0)
+        after = np.where(told_here, np.log10(most + MASS), 0.0)
+        after[ids == words.number[END]] = 0.0  # nothing comes after the end
+        firsts = np.cumsum(lengths) - lengths
+        n_known, base_part, score_part = (np.add.reduceat(x, firsts) for x in ((frequent & (most > 0)).astype(np.int64), base, np.log10(1 + count / (MASS * p1)) + base - after))
+        score_part += lengths * math.log10(MASS) - math.log10(words.starts + MASS)
+        row = np.repeat(np.arange(len(lengths)), lengths)[~told_here]
+        pair, times = np.unique(row << 32 | ids[~told_here] - words.n_frequent, return_counts=True)
+        ends = pa.array(np.searchsorted(pair >> 32, np.arange(len(lengths) + 1)).astype(np.int32))
+        others = pa.array([kept["names"][i] for i in (pair & 0xFFFFFFFF).tolist()], pa.string())
+        others, many = (pa.ListArray.from_arrays(ends, x) for x in (others, pa.array(times.astype(np.int64))))
+        return pa.RecordBatch.from_arrays([pa.array(portion + np.arange(len(lengths))), pa.array(kept["doc_id"], pa.int64()), *(pa.array(x) for x in (lengths.astype(np.int64), n_known, base_part, score_part)), others, many], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(*sent_words.value)
-        pairs = Filter(words.n_slices, *sent_filter.value)
-        floor = math.log10(0.5 / words.whole)
-        start = math.log10(words.starts + MASS)
-        for whole_batch in batches:
-            for at, rows in portions(whole_batch.column("text")):
-                batch = whole_batch.slice(at, rows)
-                texts = _tokens(batch.column("text"))
-                ids, firsts = words.numbers(texts), _firsts(texts)
-                key = words.pairs(ids, firsts)
-                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                # Texts repeat the same pairs over and over: each pair is looked up once a batch.
-                key, which, where = _distinct(key)
-                w, s = ids[which], slices(key, words.n_slices)
-                held, frequent = pairs.has[s], w < words.n_frequent
-                most = np.zeros(len(key))  # the word's count, or a bound above it
-                most[frequent] = words.count[w[frequent]]
-                own = held & ~frequent
-                most[own] = STEPS[pairs.level(word_keys(words.hashes[w[own]]), s[own]) + 1] - 1
-                met = held & (most > 0)
-                count = np.zeros(len(key))
-                count[met] = np.minimum(STEPS[pairs.level(key[met], s[met])], most[met])
-                p1 = (most + 0.5) / words.whole
-                gain = np.log10(1 + count / (MASS * p1))
-                # Of words alone: here those of frequent ones, and of words that the filter says were never seen.
-                known = frequent & held
-                base = np.where(known, np.log10(p1), np.where(own & (most == 0), floor, 0.0))
-                after = np.where(known, np.log10(most + MASS), np.where(own & (most == 0), math.log10(MASS), 0.0))
-                after[w == words.number[END]] = 0.0  # nothing comes after the end
-                per_text = [np.add.reduceat(x[where], firsts) for x in (known.astype(np.int64), base, gain + base - after)]
-                seen = (own & (most > 0))[where]
-                pair, times = np.unique(row[seen] << 32 | ids[seen], return_counts=True)
-                names = pa.array([words.number.names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
-                ends = np.searchsorted(pair >> 32, np.arange(len(texts) + 1)).astype(np.int32)
-                others, many = (pa.ListArray.from_arrays(pa.array(ends), x) for x in (names, pa.array(times.astype(np.int64))))
-                n_tokens = np.array([len(t) for t in texts], np.int64)
-                if first_round:
-                    per_text[2] = per_text[2] + n_tokens * math.log10(MASS) - start
+        kept: dict[int, dict] = {}
+        told: dict[int, dict[int, bytes]] = {}
+        for batch in batches:
+            for r in batch.select(["portion", "slice", "levels", "doc_id", "lengths", "words", "names"]).to_pylist():
+                if r["slice"] is None:
+                    kept[r["portion"]] = r
                 else:
-                    n_tokens[:] = 0
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n_tokens), *map(pa.array, per_text), others, many], names=["row", "doc_id", "n_tokens", "n_frequent", "base_part", "score_part", "others", "times"])
+                    told.setdefault(r["portion"], {})[r["slice"]] = r["levels"]
+        for portion in sorted(kept):
+            yield scored(words, portion, kept.pop(portion), told.pop(portion))
 
     return run
 
 
-def rounds(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Slices (number, bytes) in groups of at most so many bytes, or of one."""
-    out: list[list[int]] = []
-    size = 0
-    for s, n in sizes:
-        if not out or size + n > most:
-            out.append([])
-            size = 0
-        out[-1].append(s)
-        size += n
-    return out
-
-
 def score(df: DataFrame, train: Column | None = None, text: str = "text", round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, n_known, train_tokens (longs), base_score, score (log10).
 
     Learns from the rows where `train` holds (on doc_id; by default crc32 % 5 <> 1). A null or empty text is
     the end alone; repeated rows are scored (and learnt) as often as they occur; other columns of df don't matter.
     With nothing to learn from every token is unknown, and has probability 1. An empty df gives no rows.
+    `round_bytes` of text ask the filter at once; results don't depend on it.
     """
     spark = df.sparkSession
     train = fold(F.col("doc_id"), 5) != 1 if train is None else train
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole(text).alias("text"))
-    taught = docs.where(F.coalesce(train, F.lit(False))).select("text")
-    counts = shared.written(taught.mapInArrow(_count_words, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
+    taught = F.coalesce(train, F.lit(False))
+    counts = shared.written(docs.where(taught).select("text").mapInArrow(_count_words, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()  # one row
     often = (F.col("c") * WORD_SHARE >= n) | (F.col("token") == END.decode())
     frequent = [(r[0].encode(), r[1]) for r in counts.where(often).collect()]  # WORD_SHARE rows at most, and the end
     n_slices = max(SLICES, n // SLICE_KEYS)
+    if END not in dict(frequent):  # nothing to learn from
+        frequent.append((END, 0))
     sent_words = spark.sparkContext.broadcast((frequent, n, v, n_slices))
 
-    keys = taught.mapInArrow(_count_keys(sent_words), "key long, c int")
-    sliced = shared.written(keys.repartitionById(n_slices, slice_column("key", n_slices)).mapInArrow(_build(n_slices), "slice int, raw binary"), "filter")
-    sizes = [tuple(r) for r in sliced.select("slice", F.length("raw")).orderBy("slice").collect()]  # n_slices rows
-
-    passes = rounds(sizes, round_bytes) or [[]]
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    if len(passes) > 1:  # the numbers must be the same in each
-        numbered = shared.written(numbered, "numbered")
-    parts = []
-    for own in passes:
-        data, held = bytearray(), []  # round_bytes at most, or one slice; fetched in portions
-        for some in rounds([x for x in sizes if x[0] in set(own)], FETCH):
-            for r in sliced.where(F.col("slice").isin(some)).collect():
-                held.append((r[0], len(r[1])))
-                data += r[1]
-        if not parts:  # slices without a key
-            empty = sorted(set(range(n_slices)).difference(x for x, _ in sizes))
-            held += [(s, 8) for s in empty]
-            data += bytes(8 * len(empty))
-        sent_filter = spark.sparkContext.broadcast((held, data))
-        del data, held
-        # Written before the next round's slices are sent, so that one round's are held at a time.
-        parts.append(shared.written(numbered.mapInArrow(_score(sent_words, sent_filter, not parts), _PARTS), "score-parts"))
-        sent_filter.destroy()
-    shared.drop(sliced, *([numbered] if len(passes) > 1 else []))
-    several = parts[0]
-    for x in parts[1:]:
-        several = several.unionByName(x)
+    shared.release(spark)  # of the words' shuffle
+    asked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", taught.alias("taught")).mapInArrow(_ask(sent_words, round_bytes), _TOLD)
+    to = F.coalesce("slice", F.pmod(F.xxhash64("portion"), F.lit(n_slices)).cast("int"))
+    told = shared.written(asked.repartitionById(n_slices, to).mapInArrow(_answer, _TOLD), "levels")
+    shared.release(spark)  # of the keys' shuffle
+    several = shared.written(told.repartition(max(SLICES, n_slices // 4), "portion").mapInArrow(_score(sent_words), _PARTS), "score-parts")
+    shared.drop(told)
     rest = several.select("row", F.explode(F.arrays_zip("others", "times")).alias("x")).select("row", F.col("x.others").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     p1 = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))

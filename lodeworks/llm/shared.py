@@ -6,6 +6,7 @@ What an operator returns still reads some of its tables, so they stay until the
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -64,7 +65,10 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver's JVM collect garbage, upon which Spark deletes the shuffle files that nothing refers to."""
+    """Has the driver's JVM collect garbage, upon which Spark deletes the shuffle files that nothing refers to. Some of
+    them are found only by a second collection, when the first has been worked off."""
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 

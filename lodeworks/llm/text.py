@@ -41,11 +41,11 @@ def free_name(df: DataFrame, name: str) -> str:
 PORTION = 2 << 20
 
 
-def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, rows) of portions of a column of texts, each of PORTION bytes at most, or one text."""
+def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(start, rows) of portions of a column of texts, each of so many bytes at most, or one text."""
     start = held = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if i > start and held + (n or 0) > PORTION:
+        if i > start and held + (n or 0) > most:
             yield start, i - start
             start, held = i, 0
         held += n or 0

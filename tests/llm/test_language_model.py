@@ -59,6 +59,19 @@ def test_scores_match_brute_force(spark, monkeypatch, share, round_bytes):
         assert got[i] == (pytest.approx(base), pytest.approx(score)), i
 
 
+def test_texts_are_read_as_often_whatever_the_size_of_the_filter(spark, monkeypatch):
+    """A larger filter has more slices, not more passes over the texts, and no part of it comes to the driver."""
+    made, written = [], lm.shared.written
+    monkeypatch.setattr(lm.shared, "written", lambda df, name, *more: made.append(name) or written(df, name, *more))
+    monkeypatch.setattr(lm, "SLICES", 12)
+    rows = [(i, f"a b c{i % 7} d{i}") for i in range(60)]
+    out = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), round_bytes=1).collect()}
+    assert made.count("score-parts") == 1 and len(made) <= 3
+    monkeypatch.setattr(lm, "SLICES", 1)
+    one = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out.keys() == one.keys() and all(abs(out[i] - one[i]) < 0.5 for i in out)
+
+
 def test_base_scores_match_brute_force(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "b", "C", "dd", f"r{i}", "é"]) for _ in range(rng.randint(0, 30))) for i in range(200)]
