@@ -72,6 +72,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> Iterator[None]:
+    """What is written inside it reaches Python in batches of about so many bytes, not of 10,000 whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def scope(*keep: DataFrame) -> Iterator[list[DataFrame]]:
     """Deletes at its end all tables written inside it, but for those in the list that it gives."""

@@ -6,9 +6,10 @@ under one such key meet in a bucket, and are verified there. Fingerprints enter
 documents have them, and a bucket gives links that grow with its members, not with their pairs.
 
 `link_hamming` is exact: it links all fingerprints within 2 bits, from two segments of 32.
-`near_duplicates` finds similar texts: sets of shingles that are similar enough share one of their first, which
-finds all candidates; fingerprints name leaders in large buckets, and the whole sets decide (similarity of 0.8,
-words of five, unless told otherwise).
+`near_duplicates` finds similar texts: first by that search over the fingerprints of their sets of shingles. Texts can
+be similar enough with fingerprints further apart; an exact pass finds those, as such sets share one of their
+first shingles, and leaves out what the fingerprints have joined. Whole sets decide in both (similarity of 0.8, words of
+five, unless told otherwise).
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ def _common(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.nda
                 sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text").slice(at, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("near_row"), F.lit(max(1, rows // SAMPLE))) == 0)
+    some = texts.where(F.pmod(F.xxhash64("near_row"), F.lit(max(1, -(-rows // SAMPLE)))) == 0)
     counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= 8)
     most = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
     values = np.array([r.h for r in most], np.int64).view(np.uint64)
@@ -439,14 +440,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, words: int, s
     return out
 
 
+def _by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) by the search of `link_hamming`: the least node of a fingerprint with the others
+    that have it, and with those of the fingerprints that this one is linked to."""
+    leads = shared.written(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "near-leads")
+    side = lambda x: leads.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}"))
+    linked = link_hamming(leads.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    same = nodes.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    out = shared.written(linked.unionByName(same).distinct(), "fingerprint-pairs")
+    shared.drop(leads)
+    shared.release(nodes.sparkSession)
+    return out
+
+
+def _not_joined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes aren't in one component of parts (node, component)."""
+    side = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(F.col("part_a") == F.col("part_b"), F.lit(False))).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, similarity: float = 0.8, screen: int = 16) -> DataFrame:
     """df with near_of (long): the row number of the row that stays for its group, and near_row, its own.
 
     Texts are near when the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are
-    the components of all near pairs, exactly and at every size. Two such sets share one of their first shingles
-    (see _prefix), so each distinct set is indexed by those, and every candidate is verified on whole sets. A large
-    bucket first links its members to leaders (`screen` bits of 64 around each), then gives all pairs that are
-    not yet in one component. Of a group the longest text stays, then the smallest doc_id (null last), then
+    the components of all near pairs, exactly and at every size. Candidates come from fingerprints within 2 bits, by
+    deletion variants; then, for what these miss, from an exact pass: two such sets share one of their first shingles
+    (see _prefix), so each distinct set is indexed by those. Every candidate is verified on whole sets. A large
+    bucket of the exact pass first links its members to leaders (`screen` bits of 64 around each), then gives all pairs
+    that are not yet in one component. Of a group the longest text stays, then the smallest doc_id (null last), then
     the first row. Texts without words are near each other. Columns of df keep their names; near_of and near_row
     are replaced.
     """
@@ -460,11 +481,16 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     # One row stands for all with the same set.
     better = F.struct((-F.col("n")).alias("n"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("near_row").alias("r"))
     heads = shared.written(sets.groupBy("h1", "h2").agg(F.min(better)["r"].alias("head")), "heads")
-    index = sets.join(heads.select(F.col("head").alias("near_row")), "near_row", "left_semi").select(F.col("near_row").alias("node"), "m", "fp", F.posexplode("keys").alias("pos", "key"))
+    distinct = sets.join(heads.select(F.col("head").alias("near_row")), "near_row", "left_semi")
+    by_print = _by_fingerprints(distinct.select(F.col("near_row").alias("node"), "fp"))
+    linked = _verified(by_print, texts, sets, words, similarity)
+    joined = shared.written(graph.components(linked), "fingerprint-parts")
+    index = distinct.select(F.col("near_row").alias("node"), "m", "fp", F.posexplode("keys").alias("pos", "key"))
     found = shared.written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_first_pairs(similarity, screen), "a long, b long, key long, m int, pos int"), "found")
     shared.release(spark)  # of the index's shuffle
-    first = shared.written(found.where("b IS NOT NULL").select("a", "b").distinct(), "first-pairs")
-    near = _verified(first, texts, sets, words, similarity)
+    first = shared.written(_not_joined(found.where("b IS NOT NULL").select("a", "b").distinct(), joined), "first-pairs")
+    near = linked.unionByName(_verified(first, texts, sets, words, similarity))
+    shared.drop(by_print, joined)
     parts = shared.written(graph.components(near), "first-parts")
     large = found.where("b IS NULL").join(parts, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("node"), "m", "pos", F.coalesce("component", "a").alias("part"))
     split = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")

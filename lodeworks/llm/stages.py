@@ -38,7 +38,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near texts (five words, a similarity of 0.8): the longest, then the least
     doc_id."""
-    return _apart(docs, ("near_of", "near_row"), lambda own: simhash.near_duplicates(own).where("near_of = near_row"))
+    with shared.small_batches(spark):  # all of its Python runs in here
+        return _apart(docs, ("near_of", "near_row"), lambda own: simhash.near_duplicates(own).where("near_of = near_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

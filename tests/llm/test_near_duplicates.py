@@ -81,3 +81,23 @@ def test_sets_of_one_fingerprint_are_all_compared(spark):
         text = [rng.choice(WORDS) for _ in range(200)]
         texts += [" ".join(text + line), " ".join(_edited(rng, text, 2) + line)]
     assert _same(_groups(spark, texts), _brute(texts))
+
+
+def test_fingerprints_find_near_texts_by_themselves(spark, monkeypatch):
+    """The search over fingerprints comes first: without candidates from the exact pass it still joins what it finds."""
+
+    def nothing(batches):
+        yield from (batch for batch in batches if False)
+
+    monkeypatch.setattr(simhash, "_first_pairs", lambda similarity, screen: nothing)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        text = [rng.choice(WORDS) for _ in range(600)]
+        texts += [" ".join(text), " ".join(_edited(rng, text, rng.choice((1, 2, 20))))]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    prints = [simhash.majority(s) for s in sets]
+    close = [(prints[i] ^ prints[i + 1]).bit_count() <= 2 for i in range(0, 60, 2)]
+    got = _groups(spark, texts)
+    assert 5 < sum(close) < 30
+    assert [got[i] == got[i + 1] for i in range(0, 60, 2)] == close and len(set(got.values())) == 60 - sum(close)
